@@ -1,0 +1 @@
+"""Column functions: spans with offsets, identifiers, text splicing."""

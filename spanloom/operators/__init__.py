@@ -1,0 +1 @@
+"""Operators: DataFrames of segments, findings, groups and masks in, DataFrames out."""

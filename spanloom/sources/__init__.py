@@ -1,0 +1 @@
+"""Sources and sinks: tables, annotated corpora, document and workbook packages, manifests."""
