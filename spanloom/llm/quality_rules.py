@@ -101,8 +101,7 @@ def measure(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
         F.filter(F.split(text, "\n", -1), lambda x: F.length(_without(x, SEPARATORS)) > 0).alias("__lines"),
     )
     n = F.size("__words")
-    return cut.select(
-        *kept,
+    measures = F.struct(
         n.cast("long").alias("n_words"),
         F.length(_without(text, SEPARATORS)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
@@ -111,6 +110,9 @@ def measure(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
         F.size("__lines").cast("long").alias("n_lines"),
         (F.length(text) - F.length(_without(text, "!"))).cast("long").alias("n_exclaims"),
     )
+    # a generator, not a projection: filters on the ledger can't be pushed below it, where they
+    # would repeat the split of the text for every rule, and inside lambdas for every word
+    return cut.select(*kept, F.inline(F.array(measures)))
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
