@@ -182,7 +182,7 @@ def test_near_duplicates(spark, empty):
     assert got[n]["class_id"] == got[n + 1]["class_id"] == n and got[n + 3]["class_id"] == n + 2
     kept = minhash.drop_near_duplicates(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(first.values()) | {n, n + 2}
-    assert minhash.near_duplicates(empty).count() == 0
+    assert minhash.near_duplicates(empty).count() == 0 and minhash.drop_near_duplicates(empty).count() == 0
 
 
 def test_draws_estimate_weighted_jaccard():
