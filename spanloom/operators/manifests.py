@@ -60,4 +60,4 @@ def size_split(manifest: DataFrame, most: int) -> DataFrame:
             out.append(part)
         return pdf.assign(part=out)[["path", "bytes", "part"]]
 
-    return manifest.groupBy(F.lit(0)).applyInPandas(run, "path string, bytes long, part int")
+    return manifest.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, "path string, bytes long, part int")

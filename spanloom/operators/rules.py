@@ -108,7 +108,7 @@ def alias_findings(segments: DataFrame, aliases: DataFrame) -> DataFrame:
     """Whole-word, case-insensitive occurrences of explicit aliases (a checked policy table)."""
     names = F.broadcast(aliases.select(F.col("alias"), "entity_key"))
     regex = whole_word(literal(F.col("alias")))
-    met = segments.join(names, F.col("text").rlike(regex))
+    met = segments.join(names, F.rlike("text", regex))
     found = met.select("doc_id", "segment_id", "entity_key", F.explode(find_spans(F.col("text"), regex)).alias("s"))
     return finish(found.select("doc_id", "segment_id", "entity_key", "s.*", F.lit("person").alias("category"), F.lit(SCORES["alias"]).alias("score"), F.lit("rule:alias").alias("detector")))
 

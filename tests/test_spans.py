@@ -43,7 +43,7 @@ def test_offsets_are_code_points(spark):
         ("Ruf +49 30 1234567 an", [("phone", "+49 30 1234567")]),
         ("Umsatz 12345678 Euro", []),
         ("Tel. 12345678", [("phone", "12345678")]),
-        ("Kundennr. AB-1234.", [("customer_id", "AB-1234")]),
+        ("Kundennr: AB-1234.", [("customer_id", "AB-1234")]),
         ("Depotkonto 99-7788", [("depot_id", "99-7788")]),
         ("account number: ZZ99/1", [("account_id", "ZZ99/1")]),
         ("Kundennummer: ohne", []),
@@ -60,7 +60,7 @@ def test_hyphens_only_on_request(spark):
 
 
 def test_rules_switch_off(spark):
-    assert found(spark, "a@b.de, Kundennr. AB-1234", email=False) == [("customer_id", "AB-1234")]
+    assert found(spark, "a@b.de, Kundennr: AB-1234", email=False) == [("customer_id", "AB-1234")]
     off = dict.fromkeys(("email", "phone", "iban", "customer_id", "depot_id", "account_id"), False)
     assert found(spark, "a@b.de", **off) == []
 
