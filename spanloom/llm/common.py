@@ -7,6 +7,7 @@ cut into words without decoding a single character.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -41,9 +42,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so that a lost executor costs no recomputation."""
+    """Cut lineage with a reliable checkpoint, so that a lost executor costs no recomputation.
+
+    Spark removes shuffle files and earlier checkpoints only when the driver collects
+    their handles, so the driver's garbage is collected here: an iteration then holds
+    one round's files, and the driver's heap stays small.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return cut
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
