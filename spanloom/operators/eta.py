@@ -25,7 +25,7 @@ def eta_ranges(points: DataFrame) -> DataFrame:
     """
     order = W.partitionBy("task").orderBy("ts")
     kept = order.rowsBetween(-(KEPT_POINTS - 2), 0)
-    at = F.col("ts").cast("double")
+    at = F.col("ts").cast("timestamp").cast("double")
     steps = points.select("task", "ts", "completed", "total", at.alias("t"), F.lag(at).over(order).alias("t0"), F.lag("completed").over(order).alias("c0"), F.first(at).over(order).alias("t_first"), F.first("completed").over(order).alias("c_first"))
     steps = steps.where("c0 is not null and completed > c0 and t > t0")
     sample = F.struct(((F.col("t") - F.col("t0")) / (F.col("completed") - F.col("c0"))).alias("cost"), (F.col("completed") - F.col("c0")).cast("double").alias("n"), F.col("t0").alias("t0"), F.col("c0").alias("c0"))

@@ -42,14 +42,14 @@ LAST_NAMES = "Albers,Brandt,Claasen,Dietz,Ehlers,Funke,Gruber,Hansen"
 TALK = f"""
 SELECT 'c' || CAST(k AS STRING) AS doc_id, n AS seg_no, 's00000' || CAST(n AS STRING) AS segment_id,
   CASE n WHEN 1 THEN fn || ' ' || ln || ': Guten Tag, hier spricht die Zentrale.'
-         WHEN 2 THEN 'Meine Kundennummer: KD-' || kk || ' und mein Depot-Nr. DP' || kk || '. Danke.'
+         WHEN 2 THEN 'meine Kundennummer: KD-' || kk || ' und mein Depot-Nr. DP' || kk || '. Danke.'
          WHEN 3 THEN 'Kontonummer: ' || kk || ', erreichbar unter 030 ' || kp || ' ab acht.'
          WHEN 4 THEN 'IBAN ' || iban || '. Danke.'
          WHEN 5 THEN 'Ich fragte ' || fn || ' ' || ln || ' heute; Herr ' || ln || ' sagt ja.'
          ELSE 'Beleg B' || CAST(k + 1000000 AS STRING) || 'X liegt vor.' END AS text,
   k, n, fn, ln, kk, kp, iban
 FROM (SELECT k, fn, ln, CAST(k + 100000 AS STRING) AS kk, lpad(CAST(k AS STRING), 7, '0') AS kp,
-        'DE' || CASE WHEN k % 2 = 0 THEN lpad(CAST(98 - ((bban % 97) * 27 + 62) % 97 AS STRING), 2, '0') ELSE '00' END || CAST(bban AS STRING) AS iban
+        'DE' || lpad(CAST(98 - k % 2 - ((bban % 97) * 27 + 62) % 97 AS STRING), 2, '0') || CAST(bban AS STRING) AS iban
       FROM (SELECT c_custkey AS k, 370400440000000000 + c_custkey * 7919 AS bban,
               split_part('{FIRST_NAMES}', ',', CAST(c_custkey % 8 + 1 AS INT)) AS fn,
               split_part('{LAST_NAMES}', ',', CAST(CAST(floor(c_custkey / 8) AS BIGINT) % 8 + 1 AS INT)) AS ln
@@ -189,8 +189,8 @@ def _part(n: int, lead: str, value: str, category: str, score: int, where: str =
 
 _PHONE = _part(3, "'Kontonummer: ' || kk || ', erreichbar unter '", "'030 ' || kp", "phone", 940000)
 _IBAN = _part(4, "'IBAN '", "iban", "iban", 1000000, "k % 2 = 0")
-_CUSTOMER = _part(2, "'Meine Kundennummer: '", "'KD-' || kk", "customer_id", 860000)
-_DEPOT = _part(2, "'Meine Kundennummer: KD-' || kk || ' und mein Depot-Nr. '", "'DP' || kk", "depot_id", 860000)
+_CUSTOMER = _part(2, "'meine Kundennummer: '", "'KD-' || kk", "customer_id", 860000)
+_DEPOT = _part(2, "'meine Kundennummer: KD-' || kk || ' und mein Depot-Nr. '", "'DP' || kk", "depot_id", 860000)
 _ACCOUNT = _part(3, "'Kontonummer: '", "kk", "account_id", 840000)
 _RULES = f"found AS ({' UNION ALL '.join((_PHONE, _IBAN, _CUSTOMER, _DEPOT, _ACCOUNT))})"
 
@@ -233,7 +233,7 @@ def rule_switches(spark, sf_dir):
 
 
 @query(f"""WITH {_TALK} SELECT doc_id, segment_id, CAST(start AS BIGINT) AS start, CAST(start + length(text) AS BIGINT) AS "end", text FROM (
-  SELECT doc_id, segment_id, length('Meine Kundennummer: KD-' || kk || ' und mein Depot-Nr. ') AS start, 'DP' || kk || '.' AS text FROM talk WHERE n = 2
+  SELECT doc_id, segment_id, length('meine Kundennummer: KD-' || kk || ' und mein Depot-Nr. ') AS start, 'DP' || kk || '.' AS text FROM talk WHERE n = 2
   UNION ALL SELECT doc_id, segment_id, 5, iban || '.' FROM talk WHERE n = 4
   UNION ALL SELECT doc_id, segment_id, 6, 'B' || CAST(k + 1000000 AS STRING) || 'X' FROM talk WHERE n = 6)""")
 def identifier_tokens(spark, sf_dir):
