@@ -15,7 +15,7 @@ import json
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import UTC, datetime
 from pathlib import Path
@@ -86,14 +86,25 @@ def load(spark: SparkSession, run: str | Path) -> tuple[dict[str, Any], dict[str
     return state, tables
 
 
-def _commit(spark: SparkSession, run: Path, state: dict[str, Any], tables: dict[str, DataFrame]) -> dict[str, Any]:
-    """Write a revision beside the others, then swap the pointer."""
+Save = Callable[[str, DataFrame], DataFrame]
+
+
+def _commit(spark: SparkSession, run: Path, state: dict[str, Any], build: Callable[[Save], None]) -> dict[str, Any]:
+    """Write a revision beside the others, then swap the pointer.
+
+    Each table is read back as soon as it is written, so what derives from it neither
+    repeats its work nor carries its plan.
+    """
     (run / "revisions").mkdir(parents=True, exist_ok=True)
     name = f"r{state['revision']:06d}"
     stage, final = run / "revisions" / f".{name}-{uuid.uuid4().hex}", run / "revisions" / name
+
+    def save(table: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(str(stage / f"{table}.parquet"))
+        return _table(spark, stage, table)
+
     try:
-        for t in TABLES:
-            tables[t].write.parquet(str(stage / f"{t}.parquet"))
+        build(save)
         state = state | {"candidate_sha256": candidate_hash(_table(spark, stage, "rendered"))}
         raw = json.dumps(state, ensure_ascii=False, sort_keys=True, indent=2).encode()
         write_atomic(stage / "state.json", raw)
@@ -107,24 +118,26 @@ def _commit(spark: SparkSession, run: Path, state: dict[str, Any], tables: dict[
     return state
 
 
-def _project(state: dict[str, Any], source: DataFrame, segments: DataFrame, findings: DataFrame, decisions: DataFrame, reviews: DataFrame, old_groups: DataFrame | None) -> dict[str, DataFrame]:
-    """Every derived table of a revision."""
+def _project(
+    save: Save, state: dict[str, Any], source: DataFrame, segments: DataFrame, findings: DataFrame, decisions: DataFrame, reviews: DataFrame, old_groups: DataFrame | None
+) -> None:
+    """Every table of a revision."""
+    source, segments, findings = save("source", source), save("segments", segments), save("findings", findings)
     selected, suppressed = resolve.resolve(findings, segments)
     quiet = resolve.with_ids(findings.where("review_only")).select(*[c for c in suppressed.columns if c not in ("reason", "merged_into")], F.lit("review_only").alias("reason"), F.lit(None).cast("string").alias("merged_into"))
+    save("suppressed", suppressed.unionByName(quiet))
+    selected = save("selected", selected)
     if old_groups is None:
         groups = review.entity_groups(selected, segments)
     else:
         groups = review.entity_groups(selected, segments, review.token_counters(old_groups), old_groups)
-    decisions = decisions.join(selected.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi")
+    groups = save("groups", groups)
+    decisions = save("decisions", decisions.join(selected.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi"))
+    reviews = save("reviews", reviews)
     effects = review.effective(selected, groups, decisions)
-    rendered = review.render(segments, effects)
-    masks = review.masked_intervals(effects)
-    ranked = rank.rank_retained(segments, rendered, findings, masks, state["sample_size"])
-    passages = review.passage_view(source, rendered, ranked, reviews)
-    return {
-        "source": source, "segments": segments, "findings": findings, "selected": selected, "suppressed": suppressed.unionByName(quiet), "groups": groups,
-        "decisions": decisions, "reviews": reviews, "rendered": rendered, "passages": passages,
-    }
+    rendered = save("rendered", review.render(segments, effects))
+    ranked = rank.rank_retained(segments, rendered, findings, review.masked_intervals(effects), state["sample_size"])
+    save("passages", review.passage_view(source, rendered, ranked, reviews))
 
 
 def prepare(segments: DataFrame, run: str | Path, detector: Detector | None = None, sample_size: int = 5, policy_id: str = "") -> dict[str, Any]:
@@ -142,14 +155,8 @@ def prepare(segments: DataFrame, run: str | Path, detector: Detector | None = No
         "policy_id": policy_id, "signed_off_by": "", "signed_sha256": "", "imports": [], "history": [{"at": _now(), "event": "prepared", "revision": 1}],
     }
     with run_lock(run):
-        # findings are fixed before anything derives from them
-        hold = run / "revisions" / ".findings"
-        detector.transform(segments).write.parquet(str(hold))
-        try:
-            empty = spark.createDataFrame([], _DECISIONS), spark.createDataFrame([], _REVIEWS)
-            return _commit(spark, run, state, _project(state, segments, segments, spark.read.parquet(str(hold)), *empty, None))
-        finally:
-            shutil.rmtree(hold, ignore_errors=True)
+        empty = spark.createDataFrame([], _DECISIONS), spark.createDataFrame([], _REVIEWS)
+        return _commit(spark, run, state, lambda save: _project(save, state, segments, segments, detector.transform(segments), *empty, None))
 
 
 def view(spark: SparkSession, run: str | Path) -> dict[str, Any]:
@@ -216,7 +223,7 @@ def import_review(spark: SparkSession, run: str | Path, returned: dict[str, Any]
         state = state | {"revision": state["revision"] + 1, "imports": [*state["imports"], own], "history": [*state["history"], {"at": _now(), "event": "imported", "revision": state["revision"] + 1}]}
         old = state["candidate_sha256"]
         state = state | {"signed_off_by": "" if changed else signed, "signed_sha256": "" if changed or not signed else old}
-        return _commit(spark, run, state, _project(state, t["source"], segments, findings, decisions, reviews, groups))
+        return _commit(spark, run, state, lambda save: _project(save, state, t["source"], segments, findings, decisions, reviews, groups))
 
 
 def _differs(a: DataFrame, b: DataFrame, columns: list[str]) -> bool:

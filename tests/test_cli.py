@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 
@@ -15,6 +16,7 @@ def call(capsys, *args):
     return json.loads(capsys.readouterr().out.strip().splitlines()[-1])
 
 
+@pytest.mark.skipif(not os.environ.get("SPANLOOM_SLOW"), reason="takes minutes: set SPANLOOM_SLOW")
 def test_commands(spark, tmp_path, capsys):
     rows = [{"segment_id": f"s{i:06d}", "text": t, "locator": None} for i, t in enumerate(["Kim Lee: Hallo zusammen", "Mail: kim@lee.de"], 1)]
     docx.write_docx(rows, tmp_path / "a.docx")
@@ -35,6 +37,7 @@ def test_commands(spark, tmp_path, capsys):
         cli.main(["export", str(run), str(tmp_path / "out")])
 
 
+@pytest.mark.skipif(not os.environ.get("SPANLOOM_SLOW"), reason="takes minutes: set SPANLOOM_SLOW")
 def test_evaluate_and_selftest(spark, tmp_path, capsys):
     corpus = [{"id": "d", "segments": [{"id": "s1", "text": "Mail: kim@lee.de"}], "annotations": [{"segment_id": "s1", "start": 6, "end": 16, "category": "email"}]}]
     (tmp_path / "c.json").write_text(json.dumps(corpus))
