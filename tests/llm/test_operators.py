@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -157,6 +158,35 @@ def test_line_links(spark, empty):
     assert lines.judged_lines(empty).count() == 0 and lines.dedup_lines(empty).count() == 0
 
 
+def test_long_lines_link_by_words(spark):
+    rng = random.Random(6)
+
+    def change(a, k):
+        a = a.split(" ")
+        for _ in range(k):
+            i, kind = rng.randrange(len(a) + 1), rng.randrange(3)
+            a[i : i + 1] = [[prose(rng, 1) + "zzzz"], [prose(rng, 1) + "zzzz", *a[i : i + 1]], []][kind]
+        return " ".join(a)
+
+    seeds = [prose(rng, n) for n in (11, 12, 13, 20, 38, 39, 40, 41, 42, 59, 60, 61, 80, 130, 300)] + ["漢字仮名交じり文の行" * 5]
+    made = list(dict.fromkeys(x for s in seeds for x in [s, *(change(s, 1 + i) for i in range(4)), change(s, len(s.split(" ")) // 20), mutate(rng, s, 2), mutate(rng, s.replace(" ", "", 1), 1)] if len(x) >= 30))
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    split = {x: re.sub("([一-鿿぀-ヿ])", r" \1 ", x).split(" ") for x in made}
+
+    def near(a, b):
+        n = min(len(split[a]), len(split[b]))
+        if abs(len(split[a]) - len(split[b])) > max(4, n // 20):
+            return False
+        return (n >= 12 and distance(split[a], split[b]) <= max(1, n // 20)) or (abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2)
+
+    want = Counter(x for a in made for b in made if a < b and near(a, b) for x in (a, b))
+    got = {made[r["doc_id"]]: r["n_links"] for r in lines.judged_lines(df).collect()}
+    assert got == {x: want[x] for x in made}
+    long = prose(rng, 60)
+    pair = spark.createDataFrame([(1, long), (2, change(long, 1)), (3, prose(rng, 60))], "doc_id long, text string")
+    assert {r["doc_id"]: r["leader_doc"] for r in lines.judged_lines(pair).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 # --- 3
 
 
