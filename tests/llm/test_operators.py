@@ -187,6 +187,13 @@ def test_long_lines_link_by_words(spark):
     assert {r["doc_id"]: r["leader_doc"] for r in lines.judged_lines(pair).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_short_lines_are_deduplicated(spark):
+    rows = [(1, "Les.\n\nkurze Zeile eins zwei\n\r"), (2, "Les.\n\nkurze Zeile eins zwai\n\r"), (3, "Des.\nLes.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"]): (r["copies"], r["n_links"], r["leader_doc"], r["kept"]) for r in lines.judged_lines(df).collect()}
+    assert got == {(1, 0): (3, 0, 1, True), (1, 2): (1, 1, 1, True), (2, 0): (3, 0, 1, False), (2, 2): (1, 1, 1, False), (3, 0): (1, 0, 3, True), (3, 1): (3, 0, 1, False)}
+
+
 # --- 3
 
 
