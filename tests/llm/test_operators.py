@@ -513,6 +513,20 @@ def test_unit_digests_do_not_depend_on_place():
     assert len(by[0] & by[1]) >= 2 and by[0] <= by[2]
 
 
+def test_passages_with_a_hot_word_have_inner_units():
+    rng = random.Random(13)
+    low = min((prose(rng, 1) for _ in range(300)), key=lambda w: int(Words(*buffers(pa.array([w])), 0, 1, lower=True).hashes()[0]))
+    hot = lambda n: " ".join(low if rng.random() < 0.3 else prose(rng, 1) for _ in range(n))
+    for _ in range(40):
+        passage = hot(60)
+        u = substrings.units(*buffers(pa.array([f"{hot(20)} {passage} {hot(20)}", f"{hot(9)} {passage} {hot(33)}"])), 0, 2)
+        size = dict(zip(u["digest"].tolist(), u["words"].tolist(), strict=True))
+        both = set(u["digest"][u["row"] == 0].tolist()) & set(u["digest"][u["row"] == 1].tolist())
+        assert sum(size[d] for d in both) >= 20
+    filler = substrings.units(*buffers(pa.array(["a b " * 40])), 0, 1)
+    assert filler["words"].max() <= 10
+
+
 # --- 10
 
 
