@@ -527,6 +527,15 @@ def test_passages_with_a_hot_word_have_inner_units():
     assert filler["words"].max() <= 10
 
 
+def test_passages_shared_under_one_id_are_found(spark):
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    for key in (None, 7):
+        df = spark.createDataFrame([(key, f"{prose(rng, 9)}\n{passage}"), (key, f"{passage}\n{prose(rng, 9)}")], "doc_id long, text string")
+        spans = substrings.repeated_spans(df).collect()
+        assert len(spans) == 1 and spans[0]["n_words"] == 60 and spans[0]["doc_id"] == spans[0]["first_doc_id"] == key
+
+
 # --- 10
 
 
