@@ -470,6 +470,12 @@ def test_ablation(docs):
         assert (r["failed"], r["failed_alone"], r["kept_without"]) == (sum(x & b != 0 for x in bits), sum(x == b for x in bits), sum(x & ~b == 0 for x in bits))
 
 
+def test_size_alone_rejects_nothing(spark):
+    df = spark.createDataFrame([(1, " ".join(f"wort{i}" for i in range(200_001)))], "doc_id long, text string")
+    row = quality_rules.apply_policy(quality_rules.ledger(df)).select("kept", "fail_bits").first()
+    assert row["kept"] and row["fail_bits"] == quality_rules.BIT["many_words"]
+
+
 # --- 9
 
 
