@@ -7,19 +7,22 @@ cut into words without decoding a single character.
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
 SEPARATORS = " \t\n\x0b\x0c\r"
 
+#: Rows of a written table that are one partition.
+SMALL = 100_000
+
 _IS_SEP = np.zeros(256, dtype=bool)
 _IS_SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -42,17 +45,64 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so that a lost executor costs no recomputation.
+    """Cut lineage with a reliable checkpoint, so that a lost executor costs no recomputation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    Spark removes shuffle files and earlier checkpoints only when the driver collects
-    their handles, so the driver's garbage is collected here: an iteration then holds
-    one round's files, and the driver's heap stays small.
+class Work:
+    """A folder of its own in the shared folder, for tables that cut lineage.
+
+    Tables are Parquet: unlike a checkpoint they are compressed, and their sizes are known
+    to the optimiser.  Rows are counted on the way; a table of up to ``SMALL`` rows is read
+    as one partition, so that steps on small tables need no exchange, while larger ones
+    are dealt out.  Tables that are no longer needed go at once, all others when the
+    session's file system is closed.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    cut = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return cut
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/spanloom-{name}-{uuid.uuid4().hex}"
+        self._n = 0
+        self._at: dict[int, str] = {}
+        self._fs(self.folder)[0].deleteOnExit(self._fs(self.folder)[1])
+
+    def _fs(self, path: str) -> tuple:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def write(self, df: DataFrame, small: int = SMALL, **measures: Column) -> tuple[DataFrame, dict]:
+        """The table as written, and aggregates of its rows taken on the way (n: how many)."""
+        path = f"{self.folder}/{self._n}"
+        self._n += 1
+        watch = Observation()
+        df.observe(watch, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
+        table, seen = self.spark.read.schema(df.schema).parquet(path), watch.get
+        table = table.coalesce(1) if seen["n"] <= small else table
+        self._at[id(table)] = path
+        return table, seen
+
+    def drop(self, table: DataFrame) -> None:
+        path = self._at.pop(id(table), None)
+        if path:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+
+
+#: Rows of pairs (four ids) that are broadcast, by their count; more are dealt out.
+FEW = 200_000
+
+
+def pair_texts(pairs: DataFrame, n: int, texts: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) with text_a and text_b; texts: node, text, one row a node."""
+    left, right = texts, texts
+    if n <= FEW:
+        ids = lambda c: F.broadcast(pairs.select(F.col(c).alias("node")).distinct())
+        left, right = texts.join(ids("a"), "node", "left_semi"), texts.join(ids("b"), "node", "left_semi")
+    left = left.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = right.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, "text_a", "text_b")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,19 +8,17 @@
    Weight: (1 + ln tf) * (1 + ln((1 + N) / (1 + df)) / ln(1 + N)).
 2. Sampling pass.  Improved consistent weighted sampling draws one (shingle,
    level) per hash function; equal draws have the probability of the weighted
-   Jaccard similarity.  Draws are banded; one byte of each is kept as a sketch.
-3. Equal texts collapse to one node.  First round: in every bucket of a band each
-   node meets the bucket's hub, the node that shares most buckets; a group of n
-   copies of one text thus costs n pairs, not n squared.  Second round: nodes of a
-   bucket that are still in different components meet, in a join whose condition
-   compares sketches, so that pairs that merely share a band aren't emitted.
-4. Pairs of both rounds are verified by weighted Jaccard similarity on whole texts.
-5. Classes are connected components by alternating stars, each round
-   checkpointed; nothing of all documents reaches the driver.
-
-A link inside a component is not looked for again, as it changes no class; no link
-between components is lost but for sampling.  Recall at similarity 0.8: 12 bands of
-5 find 99.2 %, the sketch test at 68 of 96 draws passes 99 %.
+   Jaccard similarity.  Draws are banded; two bits of each are kept as a sketch.
+3. Equal texts collapse to one node.  The nodes of a bucket meet its hubs in rounds
+   (``classes``); the join's condition compares sketches, so that pairs that merely
+   share a band aren't emitted.
+4. Pairs are verified by weighted Jaccard similarity on whole texts.
+5. Classes are connected components by alternating stars; each round is a table in
+   the shared folder, and nothing of all documents reaches the driver.
+
+No link between classes is lost but for sampling: at similarity 0.8 12 bands of 5 find
+99.2 % of single pairs, and the sketch test passes 99 % (74 of 96 draws whose two bits
+agree, and 310 of 384 for what the first round leaves).
 
 Defined results: a null text is empty; texts without a word are linked to equal
 texts only; texts of one to four words have one shingle, of all their words; the
@@ -38,14 +36,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Words, buffers, documents, durable, mix64, shingles, steps, text_or_empty
+from spanloom.llm.classes import classes, plain, sized, with_payload
+from spanloom.llm.common import Words, Work, buffers, documents, mix64, pair_texts, shingles, steps, text_or_empty
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 5
-#: Draws whose low bytes make the sketch (a multiple of eight, BANDS * ROWS at least), and how many must agree.
-DRAWS, SKETCH_MATCHES = 96, 68
-_LONGS = [f"s{i}" for i in range(DRAWS // 8)]
+#: Draws of a sketch (a multiple of 32, BANDS * ROWS at least), and how many must agree in their two bits.
+DRAWS, SKETCH_MATCHES = 96, 74
+#: The same for the nodes that are left after ``classes`` has looked at one hub of every bucket.
+MORE_DRAWS, MORE_MATCHES = 384, 310
 FEATURE_BITS = 18
 _HASH_BITS = 52
 _LOW = np.uint64((1 << _HASH_BITS) - 1)
@@ -141,12 +141,29 @@ def draws(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: int, k
     return out
 
 
+def sketch(drawn: np.ndarray) -> list[pa.Array]:
+    """Two bits of each draw, 32 draws a long."""
+    shifts = np.arange(0, 64, 2, dtype=np.uint64)
+    parts = (drawn & np.uint64(3)).reshape(len(drawn), -1, 32) << shifts
+    longs = np.bitwise_or.reduce(parts, axis=2).view(np.int64)
+    return [pa.array(np.ascontiguousarray(longs[:, i])) for i in range(longs.shape[1])]
+
+
+def _longs(n: int) -> list[str]:
+    return [f"s{i}" for i in range(n // 32)]
+
+
+def _node(text_col: str) -> Column:
+    """128 bits of the text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(text_or_empty(text_col), 256), 1, 32)).alias("node")
+
+
 def sign(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, node (128 bits of the text's SHA-256), sketch longs and band keys of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # 2**FEATURE_BITS floats
     slim = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.unhex(F.substring(F.sha2(text_or_empty(text_col), 256), 1, 32)).alias("node"),
+        _node(text_col),
         F.col(text_col).cast("string").alias("text"),
     )
 
@@ -155,76 +172,60 @@ def sign(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str, width: in
         for batch in batches:
             raw, offsets = buffers(batch.column(2))
             n = batch.num_rows
-            sketch, keys, some = np.zeros((n, DRAWS), dtype=np.uint8), np.zeros((n, bands), dtype=np.uint64), np.zeros(n, dtype=bool)
+            drawn, keys, some = np.zeros((n, DRAWS), dtype=np.uint64), np.zeros((n, bands), dtype=np.uint64), np.zeros(n, dtype=bool)
             for lo, hi in steps(offsets, 1 << 18):
                 row, shingle, count = features(raw, offsets, lo, hi, width)
-                drawn = draws(row, shingle, weights(shingle, count, idf), hi - lo, DRAWS)
-                sketch[lo:hi] = drawn.astype(np.uint8)
+                drawn[lo:hi] = own = draws(row, shingle, weights(shingle, count, idf), hi - lo, DRAWS)
                 some[lo + np.unique(row)] = True
                 for b in range(bands):
                     total = np.full(hi - lo, b + 1, dtype=np.uint64)
                     for j in range(rows):
-                        total = mix64(total * np.uint64(0xD1342543DE82EF95) + drawn[:, b * rows + j])
+                        total = mix64(total * np.uint64(0xD1342543DE82EF95) + own[:, b * rows + j])
                     keys[lo:hi, b] = total
-            longs = sketch.view(np.int64)
             per_row = np.where(some, bands, 0)
             ends = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(len(_LONGS))], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1).view(np.int64)))],
-                names=["doc_id", "node", *_LONGS, "bands"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sketch(drawn), lists], names=["doc_id", "node", *_longs(DRAWS), "bands"])
 
-    return slim.mapInArrow(run, "doc_id long, node binary, " + ", ".join(f"{c} long" for c in _LONGS) + ", bands array<long>")
+    return slim.mapInArrow(run, "doc_id long, node binary, " + ", ".join(f"{c} long" for c in _longs(DRAWS)) + ", bands array<long>")
 
 
-def _unequal_bytes(a: Column, b: Column) -> Column:
-    x = a.bitwiseXOR(b)
-    for s in (4, 2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, s))
-    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+def more_draws(texts: DataFrame, idf: np.ndarray, width: int) -> DataFrame:
+    """node and a longer sketch of every row of ``texts`` (node, text)."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = buffers(batch.column(1))
+            for lo, hi in steps(offsets, 1 << 18):
+                row, shingle, count = features(raw, offsets, lo, hi, width)
+                drawn = draws(row, shingle, weights(shingle, count, shared.value), hi - lo, MORE_DRAWS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *sketch(drawn)], names=["node", *_longs(MORE_DRAWS)])
 
-def shared_buckets(texts: DataFrame) -> DataFrame:
-    """node, key, size of every bucket that several nodes are in."""
-    rows = texts.select("node", F.explode("bands").alias("key"))
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.expr("key + shiftright(size, 62)").alias("k"), "size")
-    return rows.join(size, F.col("key") == F.col("k")).select("node", "key", "size")
+    return texts.select("node", "text").mapInArrow(run, "node binary, " + ", ".join(f"{c} long" for c in _longs(MORE_DRAWS)))
 
 
-def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b: each node with the hub of each of its buckets."""
-    degree = buckets.groupBy("node").agg(F.sum("size").alias("degree")).select(F.unhex(F.hex("node")).alias("d_node"), "degree")
-    ranked = buckets.join(degree, F.col("node") == F.col("d_node"))
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select(F.col("key").alias("h_key"), F.col("top.node").alias("hub"))
-    hubs = hubs.withColumn("h_key", F.expr("h_key + octet_length(hub) - 16"))  # detached from the aggregate: AQE may split a hot bucket
-    met = buckets.join(hubs, F.col("key") == F.col("h_key")).where("node != hub")
-    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+def agree(n: int, matches: int):
+    """Condition that two aliases' sketches of ``n`` draws agree in ``matches``."""
 
+    def unequal(x: str, y: str, c: str) -> Column:
+        d = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
-def cross_pairs(buckets: DataFrame, texts: DataFrame, roots: DataFrame, matches: int = SKETCH_MATCHES) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components whose sketches agree in ``matches`` draws."""
-    sketch = texts.select(F.col("node").alias("t_node"), *_LONGS)
-    known = roots.select(F.col("node").alias("r_node"), "root")
-    side = buckets.where("size > 2").select("node", "key").join(known, F.col("node") == F.col("r_node"), "left")
-    side = side.join(sketch, F.col("node") == F.col("t_node")).select("node", "key", F.coalesce("root", "node").alias("root"), *_LONGS)
-    a, b = side.alias("a"), side.alias("b")
-    unequal = reduce(lambda x, y: x + y, [_unequal_bytes(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in _LONGS])
-    close = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (unequal <= DRAWS - matches)
-    return a.join(b, close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    return lambda x, y: reduce(lambda p, q: p + q, [unequal(x, y, c) for c in _longs(n)]) <= n - matches
 
 
-def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, width: int, similarity: float) -> DataFrame:
-    """Pairs of nodes whose texts have at least the weighted Jaccard similarity."""
+def verify(pairs: DataFrame, n: int, texts: DataFrame, idf: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """Those of ``n`` pairs of nodes whose texts have at least the weighted Jaccard similarity."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = pair_texts(pairs, n, texts)
+    own = len(pairs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
         for batch in batches:
             n, score = batch.num_rows, np.zeros(batch.num_rows)
-            (raw_a, off_a), (raw_b, off_b) = buffers(batch.column(2)), buffers(batch.column(3))
+            (raw_a, off_a), (raw_b, off_b) = buffers(batch.column(own)), buffers(batch.column(own + 1))
             for lo, hi in steps(off_a + off_b):
                 sums, keyed = [], []
                 for raw, off in ((raw_a, off_a), (raw_b, off_b)):
@@ -241,70 +242,35 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, width: int, simi
                 union = sums[0] + sums[1] - least
                 score[lo:hi] = np.divide(least, union, out=np.zeros(hi - lo), where=union > 0)
             keep = pa.array(np.flatnonzero(score >= similarity - 1e-9), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(keep), batch.column(1).take(keep), pa.array(score[keep.to_numpy(zero_copy_only=False)])], names=["a", "b", "similarity"]
-            )
-
-    return both.mapInArrow(run, "a binary, b binary, similarity double")
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of some edge, by alternating large and small stars."""
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        else:  # towards the smaller neighbour
-            e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        low = low.withColumn("w", F.unhex(F.hex("w")))  # a plain exchange on both sides, which AQE may split
-        met = e.join(low, F.col("u") == F.col("w"))
-        if large:
-            return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        others = met.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return others.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
-
-    def state(e: DataFrame) -> tuple:
-        r = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        return r["n"], r["x"]
-
-    now = durable(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v"))
-    seen = state(now)
-    for _ in range(max_rounds):
-        now = durable(star(star(now, True), False))
-        after = state(now)
-        if after == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+            yield batch.select(range(own)).take(keep)
+
+    return both.mapInArrow(run, pairs.schema)
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, matches: int = SKETCH_MATCHES
 ) -> DataFrame:
     """doc_id, node, class_id, class_size and kept for every row."""
+    work = Work(docs.sparkSession, "near")
     df, n = document_frequencies(docs, text_col, width)
     idf = idf_table(df, n)
-    signed = durable(sign(docs, idf, id_col, text_col, width, bands, rows))
-    first = [F.first(c).alias(c) for c in (*_LONGS, "bands")]
-    texts = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *first)
-    buckets = durable(shared_buckets(texts))
+    signed, _ = work.write(sign(docs, idf, id_col, text_col, width, bands, rows))
+    own = _longs(DRAWS)
+    first = [F.first(c).alias(c) for c in (*own, "bands")]
+    texts, _ = work.write(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *first))
+    members, _ = work.write(with_payload(sized(texts.select("node", F.explode("bands").alias("key"))), texts.select("node", *own)))
     # texts of all nodes that any pair can name, one row a node
-    wanted = buckets.select(F.col("node").alias("w")).distinct()
-    whole = docs.select(F.unhex(F.substring(F.sha2(text_or_empty(text_col), 256), 1, 32)).alias("node"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    reps = texts.select(F.col("node").alias("r_node"), "rep").join(wanted, F.col("r_node") == F.col("w"), "left_semi")
-    one = whole.join(reps, (F.col("node") == F.col("r_node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    one = durable(one)
-    stars = durable(verify(hub_pairs(buckets), one, idf, width, similarity).select("a", "b").distinct())
-    pairs = cross_pairs(buckets, texts, components(stars), matches)
-    rest = verify(pairs, one, idf, width, similarity).select("a", "b").distinct()
-    roots = components(stars.unionByName(rest))
-    linked = texts.select("node", "rep", "copies").join(roots.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
-    linked = durable(linked.select("node", "rep", "copies", F.coalesce("root", "node").alias("root")))
-    classes = linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = classes.select(F.unhex(F.hex("root")).alias("c_root"), "class_id", "class_size")
-    by_node = linked.join(classes, F.col("root") == F.col("c_root")).select(F.unhex(F.hex("node")).alias("k_node"), "class_id", "class_size")
-    return signed.select("doc_id", "node").join(by_node, F.col("node") == F.col("k_node")).select(
+    whole = docs.select(_node(text_col), text_or_empty(text_col).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
+    one, _ = work.write(whole.join(members.select(plain("node")).distinct(), "node", "left_semi"), small=0)
+    roots = classes(
+        work, members, agree(DRAWS, matches), lambda pairs, n: verify(pairs, n, one, idf, width, similarity),
+        lambda nodes: (more_draws(one.join(nodes, "node", "left_semi"), idf, width), agree(MORE_DRAWS, MORE_MATCHES)),
+    )
+    work.drop(one)
+    linked = texts.select("node", "rep", "copies").join(roots, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
+    found = linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")).select(plain("root"), "class_id", "class_size")
+    by_node = linked.join(found, "root").select(plain("node"), "class_id", "class_size")
+    return signed.select("doc_id", "node").join(by_node, "node").select(
         "doc_id", "node", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
     )
 
@@ -312,8 +278,7 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class, with the input's columns."""
     stay = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
-    node = F.unhex(F.substring(F.sha2(text_or_empty(text_col), 256), 1, 32))
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (node == F.col("__node")), "left_semi")
+    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (_node(text_col) == F.col("__node")), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import exact, lines, minhash, mixing, packing, quality_model, quality_rules, secrets, sharding, substrings
-from spanloom.llm.common import Words, buffers, shingles, steps
+from spanloom.llm.classes import components
+from spanloom.llm.common import Words, Work, buffers, shingles, steps
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean"
 
@@ -236,7 +237,7 @@ def test_draws_estimate_weighted_jaccard():
 def test_components_of_a_chain(spark):
     names = [bytes([i]) for i in range(20)]
     edges = spark.createDataFrame([(names[i], names[i + 1]) for i in range(0, 9)] + [(names[12], names[15])], "a binary, b binary")
-    got = {bytes(r["node"]): bytes(r["root"]) for r in minhash.components(edges).collect()}
+    got = {bytes(r["node"]): bytes(r["root"]) for r in components(Work(spark, "t"), edges).collect()}
     assert all(got[n] == names[0] for n in names[1:10]) and got[names[15]] == names[12]
 
 
