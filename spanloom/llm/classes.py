@@ -22,6 +22,7 @@ nothing of all nodes reaches the driver but counts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,16 +76,16 @@ def _met(side: DataFrame, hubs: DataFrame, once: bool, near: Callable[[str, str]
     return met.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb")).distinct()
 
 
-def classes(work: Work, members: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame, int], DataFrame], sharper: Callable[[DataFrame], tuple] | None = None, fan: int = FAN) -> DataFrame:
+def classes(work: Work, members: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame, int], DataFrame], sharper: Callable[[DataFrame], tuple] | None = None, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """node, root for every node of ``members`` (``with_payload``; columns that ``near`` compares).
 
     ``near`` is part of the join's condition; ``verify`` keeps those of so
     many rows (a, b, ra, rb) whose texts are near.  ``sharper`` gives other columns and
-    their ``near`` for the nodes that are left after round 0.
+    their ``near`` for the nodes that are left after round 0.  Also the verified pairs a, b.
     """
     side, seen = work.write(members.withColumn("root", F.col("node")), top=F.max("size"))
     roots, _ = work.write(side.select("node", "root").distinct())
-    low, high = 0, 0  # round 0
+    low, high, links = 0, 0, []  # round 0
     while seen["n"]:
         hubs = side.where(_place(low, high)) if high else _central(side)
         pairs, met = work.write(_met(side, hubs, high > 0, near))
@@ -96,7 +97,7 @@ def classes(work: Work, members: DataFrame, near: Callable[[str, str], Column],
             merged, _ = work.write(roots.join(into, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
             work.drop(roots)
             roots = merged
-        work.drop(edges)
+        links.append(edges.select("a", "b"))
         if high >= seen["top"]:
             break
         rest, _ = work.write(side.where(F.col("size") > high).drop("root").join(roots, "node").select(*side.columns))  # in a smaller bucket all have been hubs
@@ -111,7 +112,8 @@ def classes(work: Work, members: DataFrame, near: Callable[[str, str], Column],
             side, _ = work.write(side.select("node", "key", "size", "degree", "keys", "root").join(own, "node"))
             work.drop(left)
     work.drop(side)
-    return roots
+    nothing = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where(F.lit(False))
+    return roots, reduce(DataFrame.unionByName, links, nothing).distinct()
 
 
 def components(work: Work, edges: DataFrame) -> DataFrame:

@@ -262,7 +262,7 @@ def near_duplicates(
     # texts of all nodes that any pair can name, one row a node
     whole = docs.select(_node(text_col), text_or_empty(text_col).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
     one, _ = work.write(whole.join(members.select(plain("node")).distinct(), "node", "left_semi"), small=0)
-    roots = classes(
+    roots, _ = classes(
         work, members, agree(DRAWS, matches), lambda pairs, n: verify(pairs, n, one, idf, width, similarity),
         lambda nodes: (more_draws(one.join(nodes, "node", "left_semi"), idf, width), agree(MORE_DRAWS, MORE_MATCHES)),
     )

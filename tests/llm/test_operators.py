@@ -101,6 +101,13 @@ def distance(a, b):
     return row[-1]
 
 
+def reached(start, near):
+    seen, todo = {start}, [start]
+    while todo:
+        todo += [y for y in near[todo.pop()] if y not in seen and not seen.add(y)]
+    return seen
+
+
 def mutate(rng, a, k):
     a = list(a)
     for _ in range(k):
@@ -138,13 +145,14 @@ def test_line_links(spark, empty):
         for n, line in enumerate((t or "").split("\n")):
             if len(line.strip(" ")) >= lines.MIN_CHARS:
                 at[line.strip(" ")].add((i, n))
+    near = {x: [y for y in at if y != x and distance(x, y) <= lines.EDITS] for x in at}
     want = {}
     for line, spots in at.items():
-        near = [x for x in at if x != line and distance(x, line) <= lines.EDITS]
-        leader = min([*spots, *(p for x in near for p in at[x])])
-        want |= {p: (len(near), leader) for p in spots}
+        leader = min(p for x in reached(line, near) for p in at[x])
+        want |= {p: (bool(near[line]), leader) for p in spots}
     got = lines.judged_lines(df).collect()
-    assert {(r["doc_id"], r["line_no"]): (r["n_links"], (r["leader_doc"], r["leader_line"])) for r in got} == want
+    assert {(r["doc_id"], r["line_no"]): (r["n_links"] > 0, (r["leader_doc"], r["leader_line"])) for r in got} == want
+    assert all(r["n_links"] <= len(near[x]) for r in got for x in at if (r["doc_id"], r["line_no"]) in at[x])
     kept = {p for p, (_, leader) in want.items() if p == leader}
     clean = lines.dedup_lines(df)
     assert clean.columns == df.columns
@@ -180,9 +188,10 @@ def test_long_lines_link_by_words(spark):
             return False
         return (n >= 12 and distance(split[a], split[b]) <= max(1, n // 20)) or (abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2)
 
-    want = Counter(x for a in made for b in made if a < b and near(a, b) for x in (a, b))
-    got = {made[r["doc_id"]]: r["n_links"] for r in lines.judged_lines(df).collect()}
-    assert got == {x: want[x] for x in made}
+    linked = {a: [b for b in made if a != b and near(*sorted((a, b)))] for a in made}
+    rows = lines.judged_lines(df).collect()
+    assert {made[r["doc_id"]]: r["n_links"] > 0 for r in rows} == {x: bool(linked[x]) for x in made}
+    assert {r["doc_id"]: r["leader_doc"] for r in rows} == {i: min(made.index(y) for y in reached(x, linked)) for i, x in enumerate(made)}
     long = prose(rng, 60)
     pair = spark.createDataFrame([(1, long), (2, change(long, 1)), (3, prose(rng, 60))], "doc_id long, text string")
     assert {r["doc_id"]: r["leader_doc"] for r in lines.judged_lines(pair).collect()} == {1: 1, 2: 1, 3: 3}
