@@ -105,6 +105,17 @@ def pair_texts(pairs: DataFrame, n: int, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select(*pairs.columns, "text_a", "text_b")
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.classes import classes, plain, sized, with_payload
-from spanloom.llm.common import Words, Work, buffers, documents, mix64, pair_texts, shingles, steps, text_or_empty
+from spanloom.llm.common import Words, Work, buffers, documents, mix64, pair_texts, private, shingles, steps, text_or_empty
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -277,8 +277,9 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class, with the input's columns."""
-    stay = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (_node(text_col) == F.col("__node")), "left_semi")
+    own_id, own_node = private(docs, "id", "node")
+    stay = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias(own_id), F.col("node").alias(own_node)).distinct()
+    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (_node(text_col) == F.col(own_node)), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Words, buffers, documents, durable, steps
+from spanloom.llm.common import Words, buffers, documents, durable, private, steps
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2.0
 CELL_ROWS = 4096
+#: Sources up to which a table of one line a source is broadcast.
+MANY_SOURCES = 10_000
 SEED = 20
 _EPS = 1e-9
 
@@ -121,6 +123,11 @@ def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
+def few(table: DataFrame, n: int) -> DataFrame:
+    """Broadcast a table of one line a source if the sources are few."""
+    return F.broadcast(table) if n <= MANY_SOURCES else table
+
+
 def _level(rows: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
     """One round of flights over (source_no, cell)."""
 
@@ -143,7 +150,7 @@ def cube_sample(rows: DataFrame, cells: dict[int, int], seed: int = SEED, cell_r
     level = 0
     while True:
         n = rows.sparkSession.createDataFrame(list(cells.items()) or [(-1, 1)], "source_no int, n_cells int")  # one line a source
-        celled = rows.drop("cell").join(F.broadcast(n), "source_no")
+        celled = rows.drop("cell").join(few(n, len(cells)), "source_no")
         celled = celled.withColumn("cell", F.expr(f"cast(pmod(xxhash64(tie, {level}), n_cells) as int)")).drop("n_cells")
         last = all(c == 1 for c in cells.values())
         decided = durable(_level(celled.select("source_no", "cell", "doc_id", "size", "tie", "prob"), level, last, seed))
@@ -186,10 +193,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         lines.append((s, order[s], words[s], float(target[s]), whole, max(0.0, rate - whole)))
         cells[order[s]] = max(1, math.ceil(r["rows"] / cell_rows))
     plan = spark.createDataFrame(lines or [("", -1, 0, 0.0, 0, 0.0)], "p_source string, source_no int, source_size long, target double, whole int, prob double")
-    joined = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")))  # one line a source
+    joined = sized.join(few(plan, len(lines)), F.col("source").eqNullSafe(F.col("p_source")))  # one line a source
     decided = cube_sample(joined.select("source_no", "doc_id", "size", "tie", "prob"), cells, seed, cell_rows)
     known = plan.select("source_no", "source_size", "target", "whole")
-    out = decided.join(F.broadcast(known), "source_no").withColumn("repeats", (F.col("whole") + F.round("prob")).cast("int"))
+    out = decided.join(few(known, len(lines)), "source_no").withColumn("repeats", (F.col("whole") + F.round("prob")).cast("int"))
     return out.select(
         "doc_id", "source_no", "tie", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).cast("long").alias("taken")
     )
@@ -198,12 +205,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mixture itself: each row as often as it is taken, with the input's columns."""
     chosen = mix(docs, id_col, text_col, source_col, seed)
+    key, own_key, times, rows, k = private(docs, "g_tie", "tie", "times", "rows", "k")
     # identical rows share a tie: one of them then stands for all, as often as they are taken together
-    chosen = chosen.groupBy("tie").agg(F.sum("repeats").alias("__times"), F.count(F.lit(1)).alias("__rows")).where("__times > 0")
-    keyed = docs.withColumn("__tie", F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)))
-    joined = keyed.join(chosen, F.col("__tie") == F.col("tie"))
-    single, several = joined.where("__rows = 1"), joined.where("__rows > 1").dropDuplicates(["__tie"])
-    return single.unionByName(several).withColumn("__k", F.explode(F.expr("sequence(1, cast(__times as int))"))).select(*docs.columns)
+    chosen = chosen.groupBy(F.col("tie").alias(key)).agg(F.sum("repeats").cast("int").alias(times), F.count(F.lit(1)).alias(rows)).where(F.col(times) > 0)
+    joined = docs.withColumn(own_key, F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))).join(chosen, F.col(own_key) == F.col(key))
+    single, several = joined.where(F.col(rows) == 1), joined.where(F.col(rows) > 1).dropDuplicates([own_key])
+    return single.unionByName(several).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

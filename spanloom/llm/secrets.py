@@ -3,18 +3,23 @@
 Base candidates come from three patterns.  The method then looks for encoded
 keys: base64 and hex runs are decoded and reported only if their structure holds
 up: a DER element whose nested lengths fill it exactly, a length-prefixed
-private-key container, or a signed token whose header is JSON with an ``alg``.
+private-key container, or a signed token whose header is JSON with an ``alg``.  Keys
+may stand behind a path or prefix, be wrapped over lines, be armoured with or without
+header lines, or follow an odd digit of hex.
 
 Spans are in code points, end exclusive, and cover the whole match.  The scan is
 one pass without exchange; a text is handled alone, so memory is bounded by a
 batch.  Defined results: a null text is empty; an empty text has no spans and the
-digest of the empty string; a null id passes through; rows are independent.
+digest of the empty string; a null id passes through, of any type; rows are independent, so
+repeated rows have equal results; an empty table gives an empty result; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -32,19 +37,25 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{16,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}(?:KEY|CERTIFICATE)(?: BLOCK)?)-----([A-Za-z0-9+/=\s\\]{40,}?)-----END \1-----")
+#: One alphabet each; encoded keys are never shorter than ``LEAST`` bytes.
+LEAST = 24
+ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{32,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{32,}={0,2}"))
+#: Lines of one alphabet, indented or not, as a key that is wrapped.
+WRAPPED = re.compile(r"(?m)^[ \t]*[A-Za-z0-9+/]{16,}[ \t]*(?:\r?\n[ \t]*[A-Za-z0-9+/]{4,}={0,2}[ \t]*)+$")
+LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}(?:KEY|CERTIFICATE)(?: BLOCK)?)-----([A-Za-z0-9+/=\s\\:,.()@<>_-]{32,}?)-----END \1-----")
+_ARMOUR_HEADER = re.compile(r"(?m)^[ \t]*[A-Za-z][A-Za-z0-9-]*:.*$")
 KEYFILE_MAGIC = b"openssh-key-v1\0"
 #: Prose has spaces: only texts with a run this long are searched for encoded keys.
-_LONG_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{40,}")
+_LONG_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_KEYFILE_64 = base64.b64encode(KEYFILE_MAGIC).decode()[:19]
 
 
-def der_element(data: bytes, at: int, end: int, depth: int = 0) -> int | None:
-    """End of the DER element at ``at`` if its nested lengths are sound, else None."""
-    if depth > 12 or at + 2 > end:
+def der_head(data: bytes, at: int, end: int) -> tuple[int, int] | None:
+    """(start, end) of the contents of the DER element at ``at``; None if its length is not sound."""
+    if at + 2 > end:
         return None
-    tag, length, body = data[at], data[at + 1], at + 2
+    length, body = data[at + 1], at + 2
     if length & 0x80:
         width = length & 0x7F
         if not 1 <= width <= 4 or body + width > end or data[body] == 0:
@@ -53,24 +64,36 @@ def der_element(data: bytes, at: int, end: int, depth: int = 0) -> int | None:
         if length < 0x80:
             return None
         body += width
-    stop = body + length
-    if stop > end:
-        return None
-    if tag & 0x20:
-        inner = body
-        while inner < stop:
-            following = der_element(data, inner, stop, depth + 1)
-            if following is None:
-                return None
-            inner = following
-    elif tag & 0x1F == 2 and length == 0:
+    return (body, body + length) if body + length <= end else None
+
+
+def der_element(data: bytes, at: int, end: int) -> int | None:
+    """End of the DER element at ``at`` if all nested lengths are sound, however deep, else None."""
+    head = der_head(data, at, end)
+    if head is None:
         return None
-    return stop
+    whole, open_ends, at = head[1], [end], at
+    while True:
+        body, stop = head
+        if data[at] & 0x20:
+            open_ends.append(stop)
+            at = body
+        elif data[at] & 0x1F == 2 and body == stop:
+            return None
+        else:
+            at = stop
+        while at == open_ends[-1] and len(open_ends) > 1:
+            open_ends.pop()
+        if len(open_ends) == 1:
+            return whole
+        head = der_head(data, at, open_ends[-1])
+        if head is None:
+            return None
 
 
 def is_der(data: bytes) -> bool:
     """A sequence that fills the bytes and starts with an integer or a sequence, as keys and certificates do."""
-    return len(data) >= 24 and data[0] == 0x30 and der_element(data, 0, len(data)) == len(data) and data[2 + (data[1] & 0x7F if data[1] & 0x80 else 0)] in (0x02, 0x30)
+    return len(data) >= LEAST and data[0] == 0x30 and der_element(data, 0, len(data)) == len(data) and data[2 + (data[1] & 0x7F if data[1] & 0x80 else 0)] in (0x02, 0x30)
 
 
 def is_keyfile(data: bytes) -> bool:
@@ -120,30 +143,76 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def kind_of(data: bytes | None) -> str | None:
+    return None if not data else "der" if is_der(data) else "keyfile" if is_keyfile(data) else None
+
+
+def starts64(run: str) -> Iterator[int]:
+    """Places where an encoded key may start: the run's start and those after a separator of paths and names.
+
+    A sequence of elements is left out unless its own length, which its first bytes tell, fills the rest.
+    """
+    size = len(run.rstrip("="))
+    for at in [0, *(m.end() for m in re.finditer(r"[/+_-]", run))]:
+        if run.startswith("M", at):
+            data = decode64(run[at : at + 8])
+            head = data and der_head(data, 0, 1 << 40)
+            if head and head[1] == (size - at) * 3 // 4:
+                yield at
+        elif run.startswith(_KEYFILE_64, at):
+            yield at
+
+
+def wrapped_key(block: str) -> tuple[int, str] | None:
+    """Where in a block of lines a wrapped key starts, which runs to the block's end, and its kind."""
+    pieces = [(m.start(), m[0]) for m in re.finditer(r"\S+", block)]
+    left = sum(len(p.rstrip("=")) for _, p in pieces)
+    for i, (at, piece) in enumerate(pieces):
+        if piece.startswith(("M", _KEYFILE_64)):
+            head = der_head(decode64(piece[:8]) or b"", 0, 1 << 40) if piece[0] == "M" else None
+            if piece[0] != "M" or (head and head[1] == left * 3 // 4):
+                kind = kind_of(decode64("".join(p for _, p in pieces[i:])))
+                if kind:
+                    return at, kind
+        left -= len(piece.rstrip("="))
+    return None
+
+
 def structural_spans(text: str) -> list[tuple[int, int, str]]:
     if not _LONG_RUN.search(text):
         return []
     found = [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if is_token_header(m[1])]
-    for m in ARMOUR.finditer(text):
-        data = decode64(re.sub(r"\\n|\\r|\s", "", m[2]))
-        if data and (is_der(data) or is_keyfile(data)):
-            found.append((m.start(), m.end(), "pem"))
-    inside = list(found)
-    for m in BASE64.finditer(text):
-        if any(a <= m.start() and m.end() <= b for a, b, _ in inside):
+    if "-----BEGIN " in text:
+        for m in ARMOUR.finditer(text):
+            body = re.sub(r"\\n|\\r", "\n", m[2])
+            if kind_of(decode64(re.sub(r"\s", "", _ARMOUR_HEADER.sub("", body)))):
+                found.append((m.start(), m.end(), "pem"))
+    found.sort()
+    taken, last = [a for a, _, _ in found], 0
+    ends = []
+    for _, b, _ in found:
+        last = max(last, b)
+        ends.append(last)
+    inside = lambda a, b: (i := bisect.bisect_right(taken, a) - 1) >= 0 and b <= ends[i]
+    for m in WRAPPED.finditer(text):
+        got = None if inside(m.start(), m.end()) else wrapped_key(m[0])
+        if got:
+            found.append((m.start() + got[0], m.start() + len(m[0].rstrip()), got[1]))
+    for m in (m for alphabet in ALPHABETS for m in alphabet.finditer(text)):
+        if inside(m.start(), m.end()):
             continue
-        data = decode64(m[0])
-        if data and is_der(data):
-            found.append((m.start(), m.end(), "der"))
-        elif data and is_keyfile(data):
-            found.append((m.start(), m.end(), "keyfile"))
+        for at in starts64(m[0]):
+            kind = kind_of(decode64(m[0][at:]))
+            if kind:
+                found.append((m.start() + at, m.end(), kind))
+                break
     for m in LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0:
-            data = bytes.fromhex(m[0])
-            if is_der(data):
-                found.append((m.start(), m.end(), "der"))
-            elif is_keyfile(data):
-                found.append((m.start(), m.end(), "keyfile"))
+        run, odd = m[0], len(m[0]) % 2
+        for a, b in ((0, len(run) - odd), (1, len(run)))[: 1 + odd]:
+            kind = kind_of(bytes.fromhex(run[a:b]))
+            if kind:
+                found.append((m.start() + a, m.start() + b, kind))
+                break
     return found
 
 
