@@ -37,32 +37,32 @@ def after(text: Column, end: Column, width: int) -> Column:
     return piece(text, end, end + width)
 
 
-def total_length(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
-
-
 def find_spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """array<struct<start, end, text>> of a pattern's matches.
 
-    With a group, the span is the group's value, which must end its match.
+    With a group, the span is the group's value, which must end its match.  The place is
+    carried along the matches, so that a text with many of them is not counted anew for each;
+    a text without a match is searched once.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    parts = F.struct(F.regexp_extract_all(text, regex, F.lit(0)).alias("m"), F.split(text, regex, -1).alias("g"))
-    if group:
-        parts = F.struct(parts["m"].alias("m"), parts["g"].alias("g"), F.regexp_extract_all(text, regex, F.lit(group)).alias("v"))
-
-    def rows(p: Column) -> Column:
-        def one(match: Column, i: Column) -> Column:
-            start = total_length(F.slice(p["g"], 1, i + 1)) + total_length(F.slice(p["m"], 1, i))
-            end = start + F.length(match)
-            if not group:
-                return F.struct(start.alias("start"), end.alias("end"), match.alias("text"))
+    found = F.regexp_extract_all(text, regex, F.lit(0))
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+
+    def rows(matches: Column) -> Column:
+        parts = F.struct(F.split(text, regex, -1).alias("g"), (F.regexp_extract_all(text, regex, F.lit(group)) if group else matches).alias("v"))
+        return F.when(F.size(matches) > 0, let(parts, lambda p: walk(matches, p))).otherwise(none)
+
+    def walk(matches: Column, p: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
             value = F.get(p["v"], i)
-            return F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("text"))
+            end = state["at"] + F.length(F.get(p["g"], i)) + F.length(F.get(matches, i))
+            one = lambda e: F.struct(e.alias("at"), F.array_append(state["out"], F.struct((e - F.length(value)).alias("start"), e.alias("end"), value.alias("text"))).alias("out"))
+            return let(end, one)
 
-        return F.transform(p["m"], one)
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda state: state["out"])
 
-    return let(parts, rows)
+    return let(found, rows)
 
 
 def literal(value: Column | str) -> Column:
