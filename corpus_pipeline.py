@@ -3,16 +3,19 @@
 Each stage is a function of (spark, docs, sf_dir); its result is written as
 Parquet and read again as the next one's docs.  All stages but the last return
 the columns of ``documents``.
+
+Defined results: a null text counts as empty and fails the quality rules; a null id or
+source is a value of its own; identical rows stay or go together until near-dedup, which
+treats them as copies; very long texts are whole in every stage; an empty table gives an
+empty result; extra columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import lines, minhash, mixing, packing, quality_rules
-from spanloom.llm.common import documents, ensure_checkpoint_dir
+from spanloom.llm.common import Work, documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,18 +51,16 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Consistent sampling, cube sampling and tokens have no SQL; tests compare the stages with brute force.
+#: Consistent sampling, cube sampling and tokens have no SQL; a test works every stage out by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what lies between them is written to the shared folder."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    """All stages on ``documents``; what lies between them is written to the shared folder, and goes when it has been used."""
+    work, docs = Work(spark, "pipeline"), documents(spark, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{i}-{name}")
-            docs = spark.read.parquet(f"{base}/{i}-{name}")
+            docs, _ = work.write(docs, small=0)
+            work.drop(before)
     return docs
