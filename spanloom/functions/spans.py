@@ -189,6 +189,17 @@ def label_key(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(label)), "[ -]+", "_"), "_+", "_")
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def explode_findings(segments: DataFrame, spans: Column, *keep: str) -> DataFrame:
     """One row a span struct, with the segment's identity."""
     return segments.select("doc_id", "segment_id", *keep, F.explode(spans).alias("__s")).select("doc_id", "segment_id", *keep, "__s.*")

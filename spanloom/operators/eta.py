@@ -1,20 +1,68 @@
-"""Time-to-finish ranges from progress samples, as batch windows."""
+"""Time-to-finish ranges from progress samples."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WINDOW_SECONDS = 10
+LEAST_OBSERVATIONS = 4
 KEPT_POINTS = 7
 DECAY = 0.8
 
 
-def windowed_points(progress: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """task, ts, completed, total: the last observation of each window of ten seconds."""
-    slot = F.window("ts", f"{seconds} seconds")
-    return progress.groupBy("task", slot.alias("w")).agg(F.max("ts").alias("ts"), F.max("completed").alias("completed"), F.max("total").alias("total")).drop("w")
+def completed_counts(events: DataFrame, task: str, ts: str, event_id: str, slot: str = "1 hour") -> DataFrame:
+    """task, ts, completed, total: how many events of its task each event completes, in order of time and id.
+
+    Events are numbered inside slots of time, on top of the counts of the slots before, so
+    that a task with most of the events does not meet in one place.
+    """
+    rows = events.select(F.col(task).alias("task"), F.col(ts).alias("ts"), F.col(event_id).alias("id"), F.window(ts, slot)["start"].alias("slot"))
+    sizes = rows.groupBy("task", "slot").agg(F.count(F.lit(1)).alias("n"))
+    by = W.partitionBy("task")
+    earlier = F.coalesce(F.sum("n").over(by.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("task", "slot", earlier.alias("earlier"), F.sum("n").over(by).alias("total"))
+    inside = rows.withColumn("k", F.row_number().over(W.partitionBy("task", "slot").orderBy("ts", "id")))
+    return inside.join(sizes, ["task", "slot"]).select("task", "ts", (F.col("earlier") + F.col("k")).alias("completed"), "total")
+
+
+def windowed_points(progress: DataFrame, seconds: int = WINDOW_SECONDS, least: int = LEAST_OBSERVATIONS) -> DataFrame:
+    """task, ts, completed, total: the points from which ranges are told, the first observation of a task being its origin.
+
+    An observation counts if it is further on than all before it.  It is a point from the
+    fourth such observation on, and ten seconds after the last point at the earliest; between
+    points the last range holds.  Each point depends on the one before, so a task's
+    observations are read in order, a batch at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = point = most = None
+        seen = 0
+        for pdf in batches:
+            keep = []
+            for t, at, done, total in zip(pdf["task"], pdf["at"], pdf["completed"], pdf["total"], strict=True):
+                if t != task:
+                    task = t
+                    point = None
+                take = False
+                if total > 0 and 0 <= done < total:
+                    if point is None:
+                        point, most, seen, take = at, done, 0, True
+                    elif done > most:
+                        most, seen = done, seen + 1
+                        take = at - point >= seconds * 1_000_000 and seen >= least
+                        point = at if take else point
+                keep.append(take)
+            yield pdf[keep]
+
+    rows = progress.select(F.coalesce(F.col("task").cast("string"), F.lit("")).alias("task"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("completed").cast("long").alias("completed"), F.col("total").cast("long").alias("total"))
+    ordered = rows.where("at is not null and completed is not null and total is not null").repartition("task").sortWithinPartitions("task", "at", "completed")
+    points = ordered.mapInPandas(run, "task string, at long, completed long, total long")
+    return points.select("task", F.timestamp_micros("at").cast(progress.schema["ts"].dataType).alias("ts"), "completed", "total")
 
 
 def eta_ranges(points: DataFrame) -> DataFrame:

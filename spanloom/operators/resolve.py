@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -91,13 +93,16 @@ def resolve_greedy(findings: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(size=pdf["end"] - pdf["start"]).sort_values(["score", "size", "id"], ascending=[False, False, True])
-        taken: list[tuple[int, int]] = []
+        starts: list[int] = []  # taken spans don't overlap, so their ends are in order too
+        ends: list[int] = []
         reasons = []
         for a, b in zip(pdf["start"], pdf["end"], strict=True):
-            clash = any(a < y and x < b for x, y in taken)
+            at = bisect.bisect_left(starts, b)
+            clash = at > 0 and ends[at - 1] > a
             reasons.append("overlap_priority" if clash else None)
             if not clash:
-                taken.append((a, b))
+                starts.insert(at, a)
+                ends.insert(at, b)
         return pdf.assign(reason=reasons)[["id", *FINDING_COLUMNS, "reason"]]
 
     cols = ided.select("id", *FINDING_COLUMNS)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S
-from spanloom.operators import evaluate, eta, identity, manifests, model, rank, resolve, review, rules
+from spanloom.operators import eta, evaluate, evidence, identity, manifests, model, rank, resolve, review, rules
 from spanloom.operators.detect import detect
 from spanloom.policy import Policy, parse_policy
 from spanloom.schemas import FINDING_COLUMNS
@@ -354,7 +354,14 @@ def combine_two_detectors(spark, sf_dir):
     return _longs(rows.select("doc_id", "segment_id", "start", "end", "category", "detector", "review_only"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BASE[5:]},
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, segment_id ORDER BY score DESC, "end" - start DESC, {_OCC}) AS k FROM spotted WHERE NOT review_only),
+  r AS (SELECT doc_id, segment_id, k, [{{'a': start, 'b': "end"}}] AS taken, false AS clash FROM o WHERE k = 1
+    UNION ALL SELECT doc_id, segment_id, k, CASE WHEN clash THEN taken ELSE list_append(taken, {{'a': start, 'b': "end"}}) END, clash FROM (
+      SELECT o.doc_id, o.segment_id, o.k, o.start, o."end", r.taken, len(list_filter(r.taken, lambda x: x.a < o."end" AND o.start < x.b)) > 0 AS clash
+      FROM r JOIN o ON r.doc_id = o.doc_id AND r.segment_id = o.segment_id AND o.k = r.k + 1))
+  SELECT o.doc_id, o.segment_id, o.start, o."end", o.category, o.detector, CASE WHEN r.clash THEN 'overlap_priority' END AS reason
+  FROM o JOIN r ON o.doc_id = r.doc_id AND o.segment_id = r.segment_id AND o.k = r.k""")
 def resolve_greedy(spark, sf_dir):
     return _longs(resolve.resolve_greedy(spotted(spark, sf_dir)).select("doc_id", "segment_id", "start", "end", "category", "detector", "reason"))
 
@@ -454,6 +461,38 @@ def review_status(spark, sf_dir):
     return _longs(rows.select("doc_id", "passages", "groups", "occurrences", "inspected"))
 
 
+def _named(spark, sf_dir, lead: str) -> tuple[DataFrame, DataFrame]:
+    """A segment a customer, ``lead`` before two names, and the names as selected findings."""
+    seg = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("doc_id"), F.lit(1).alias("seg_no"), F.lit("s000001").alias("segment_id"), F.concat(F.expr(lead), F.lit("Anna Albers, Doris Dietz")).alias("text"))
+    names = F.array(*[F.struct(F.lit(n).alias("text"), F.lit(i).alias("id")) for n, i in (("Anna Albers", "o1"), ("Doris Dietz", "o2"))])
+    found = seg.select("doc_id", "segment_id", F.col("text").alias("whole"), F.inline(names))
+    found = found.select("doc_id", "segment_id", "id", (F.length("whole") - F.when(F.col("id") == "o1", 24).otherwise(11)).alias("start"), "text", F.lit("person").alias("category"), F.lit(None).cast("string").alias("entity_key"))
+    return seg, found.withColumn("end", F.col("start") + F.length("text"))
+
+
+@query("""WITH u AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 4 WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS used FROM customer)
+  SELECT doc_id, 'PERSON_' || lpad(CAST(used + i AS VARCHAR), 3, '0') AS token, CASE i WHEN 1 THEN 'Anna Albers' ELSE 'Doris Dietz' END AS alias FROM u CROSS JOIN (VALUES (1), (2)) AS v(i)""")
+def token_allocation(spark, sf_dir):
+    """Numbers go on from the run's counters and skip those that a text holds."""
+    seg, selected = _named(spark, sf_dir, "CASE WHEN c_custkey % 3 = 0 THEN 'PERSON_001 und ' ELSE '' END")
+    number = F.expr("cast(substring(doc_id, 2) as long)")
+    counters = seg.where(number % 2 == 0).select("doc_id", F.lit("PERSON").alias("prefix"), F.lit(4).alias("n"))
+    return review.entity_groups(selected, seg, counters).select("doc_id", "token", F.get("aliases", F.lit(0)).alias("alias"))
+
+
+@query("""SELECT 'c' || CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 8 = 4 THEN 'Anna Albers' WHEN c_custkey % 4 = 0 THEN 'PERSON_001' WHEN c_custkey % 4 = 1 THEN 'Anna Albers' WHEN c_custkey % 4 = 2 THEN '' ELSE 'Jemand' END || ', PERSON_002' AS text FROM customer""")
+def review_apply(spark, sf_dir):
+    """A group's decision holds unless an occurrence has its own."""
+    seg, selected = _named(spark, sf_dir, "''")
+    number = F.expr("cast(substring(doc_id, 2) as long)")
+    groups = review.entity_groups(selected, seg)
+    first = F.array_contains("occurrence_ids", "o1")
+    groups = groups.withColumn("action", F.when(first & (number % 4 == 1), "retain").when(first & (number % 4 == 2), "remove").when(first & (number % 4 == 3), "replace").otherwise("accept"))
+    groups = groups.withColumn("replacement", F.when(F.col("action") == "replace", "Jemand").otherwise(""))
+    own = seg.where(number % 8 == 4).select("doc_id", F.lit("o1").alias("id"), F.lit("retain").alias("action"), F.lit("").alias("replacement"), F.lit("").alias("note"))
+    return review.render(seg, review.effective(selected, groups, own)).select("doc_id", "text")
+
+
 # --- ranking -----------------------------------------------------------------------------
 
 
@@ -611,12 +650,63 @@ def capital_pairs() -> model.Adapter:
     return lambda text, labels, threshold: [{"label": "person", "start": m.start(), "end": m.end(), "text": m[0], "score": 0.3 if m.start() % 2 else 0.8} for m in pattern.finditer(text)]
 
 
-@query()
+# where the pairs of the talk stand; a window's lead is even, so that a place keeps its parity there
+_PAIRS = f"""pair AS (SELECT doc_id, segment_id, k, CAST(start AS BIGINT) AS start, CAST(start + length(text) AS BIGINT) AS "end", text, 'person' AS category, CASE WHEN start % 2 = 1 THEN 0.3::DOUBLE ELSE 0.8::DOUBLE END AS score,
+    'model:stand-in:person' AS detector, start % 2 = 1 AS review_only FROM (
+  SELECT doc_id, segment_id, k, CASE n WHEN 1 THEN 0 ELSE 11 END AS start, {_NAME} AS text FROM talk WHERE n IN (1, 5)
+  UNION ALL SELECT doc_id, segment_id, k, length({_NAME}) + 2, 'Guten Tag' FROM talk WHERE n = 1
+  UNION ALL SELECT doc_id, segment_id, k, {_SURNAME} - 5, 'Herr ' || ln FROM talk WHERE n = 5))"""
+
+
+@query(f"WITH {_TALK}, {_PAIRS} SELECT doc_id, segment_id, start, \"end\", text, category, score, detector, NULL::VARCHAR AS entity_key, review_only FROM pair")
 def model_adapter_findings(spark, sf_dir):
     rows = model.model_findings(talk(spark, sf_dir), capital_pairs, Policy(), "stand-in")
     return _longs(rows.select(*FINDING_COLUMNS))
 
 
+@query(f"""WITH {_TALK}, {_PAIRS} SELECT p.doc_id, p.segment_id, p.start, p.text, CASE WHEN p.text = 'Anna Albers' THEN 'p1' WHEN p.text = 'Doris Dietz' THEN 'p2'
+  WHEN p.text = t.fn || ' ' || t.ln THEN {_KEY} END AS entity_key FROM pair p JOIN talk t ON p.doc_id = t.doc_id AND t.n = 1""")
+def model_links(spark, sf_dir):
+    seg = talk(spark, sf_dir)
+    found = model.model_findings(seg, capital_pairs, Policy(), "stand-in")
+    rows = identity.link_models(found, identity.speaker_labels(seg).select("doc_id", "folded", "entity_key"), parse_policy({"aliases": ALIASES}).alias_table(spark))
+    return _longs(rows.select("doc_id", "segment_id", "start", "text", "entity_key"))
+
+
+#: text, value, category, outcome: each kind of evidence with cases for and against.
+EVIDENCE = [
+    ("Herr Meier sagt ja.", "Meier", "person", "propose"),
+    ("Der Kundenberater kommt.", "Kundenberater", "person", "reject"),
+    ("Herr Berater sagt ja.", "Berater", "person", "propose"),
+    ("Der A. kam an.", "A.", "person", "review"),
+    ("um 12:30 Uhr", "12:30", "phone", "reject"),
+    ("um 12:30 Uhr", "30", "phone", "reject"),
+    ("Ruf 0301230 an", "0301230", "phone", "propose"),
+    ("geboren am 12.03.1980 in Kiel", "12.03.1980", "date_of_birth", "propose"),
+    ("Termin am 12.03.1980 in Kiel", "12.03.1980", "date_of_birth", "reject"),
+    ("Login: maxmuster", "maxmuster", "username", "propose"),
+    ("Er tippt maxmuster so", "maxmuster", "username", "review"),
+    ("Mail an x@y.de bitte", "x@y.de", "email", "propose"),
+    ("Mail an x@y bitte", "x@y", "email", "review"),
+    ("Mail an xy bitte", "xy", "email", "reject"),
+    ("Er wohnt in Kiel", "Kiel", "address", "propose"),
+    ("Er kennt Kiel", "Kiel", "address", "review"),
+    ("Nummer 12345 ist da", "12345", "account_id", "propose"),
+    ("Kontonummer ist da", "Kontonummer", "account_id", "reject"),
+]
+_CASES = "SELECT 'r' || CAST(r_regionkey AS STRING) AS doc_id, 's' || lpad(CAST(n AS STRING), 6, '0') AS segment_id, text, value, category, a, outcome FROM region CROSS JOIN (VALUES {}) AS v(n, text, value, category, a, outcome)".format(
+    ", ".join(f"({i}, '{t}', '{v}', '{c}', {t.index(v)}, '{o}')" for i, (t, v, c, o) in enumerate(EVIDENCE, 1))
+)
+
+
+@query(f"SELECT doc_id, segment_id, CAST(a AS BIGINT) AS start, CAST(a + length(value) AS BIGINT) AS \"end\", category, outcome = 'review' AS review_only FROM ({_CASES}) WHERE outcome <> 'reject'")
+def evidence_decisions(spark, sf_dir):
+    rows = spark.sql(_CASES.replace("FROM region", "FROM {region}"), region=table(spark, sf_dir, "region"))
+    found = rows.select("doc_id", "segment_id", F.col("a").alias("start"), (F.col("a") + F.length("value")).alias("end"), F.col("value").alias("text"), "category", F.lit(False).alias("review_only"))
+    kept = evidence.apply_evidence(found, rows.select("doc_id", "segment_id", "text"))
+    return _longs(kept.select("doc_id", "segment_id", "start", "end", "category", "review_only"))
+
+
 @query()
 def detect_with_model(spark, sf_dir):
     return _longs(detect(talk(spark, sf_dir), parse_policy({"aliases": ALIASES}), capital_pairs, "stand-in").select(*FINDING_COLUMNS))
@@ -647,21 +737,37 @@ def manifest_violations(spark, sf_dir):
 @query("""WITH e AS (SELECT event_type AS task, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS completed FROM events)
   SELECT task, epoch_ms(time_bucket(INTERVAL '1 hour', ts)) // 1000 AS slot, max(completed) AS completed FROM e GROUP BY ALL""")
 def progress_slots(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    done = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("task"), "ts", done.alias("completed"))
+    rows = eta.completed_counts(table(spark, sf_dir, "events"), "event_type", "ts", "event_id")
     slots = rows.groupBy("task", F.window("ts", "1 hour").alias("w")).agg(F.max("completed").alias("completed"))
     return _longs(slots.select("task", F.unix_timestamp("w.start").alias("slot"), "completed"))
 
 
-@query()
-def eta_windows(spark, sf_dir):
-    from pyspark.sql import Window as W
+_POINTS = """e AS (SELECT event_type AS task, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS c, count(*) OVER (PARTITION BY event_type) AS total FROM events),
+  nxt AS (SELECT task, c, total, greatest(5, 1 + count(*) OVER (PARTITION BY task ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '9.999999 seconds' FOLLOWING)) AS n FROM e),
+  p AS (SELECT task, 1::BIGINT AS c FROM e WHERE c = 1 AND total > 1 UNION ALL SELECT nxt.task, nxt.n FROM p JOIN nxt ON p.task = nxt.task AND p.c = nxt.c WHERE nxt.n < nxt.total),
+  pt AS (SELECT e.task, e.c, e.total, epoch_us(e.ts) / 1000000.0 AS t FROM p JOIN e ON p.task = e.task AND p.c = e.c)"""
+
 
-    by = W.partitionBy("event_type")
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("task"), "ts", F.row_number().over(by.orderBy("ts", "event_id")).alias("completed"), F.count(F.lit(1)).over(by).alias("total"))
-    return _longs(eta.eta_ranges(eta.windowed_points(rows)).select("task", "ts", "completed", F.round("low", 3).alias("low"), F.round("high", 3).alias("high")))
+def _progress_points(spark, sf_dir):
+    return eta.windowed_points(eta.completed_counts(table(spark, sf_dir, "events"), "event_type", "ts", "event_id"))
+
+
+@query(f"WITH RECURSIVE {_POINTS} SELECT task, c AS completed, total FROM pt")
+def progress_points(spark, sf_dir):
+    return _longs(_progress_points(spark, sf_dir).select("task", "completed", "total"))
+
+
+@query(f"""WITH RECURSIVE {_POINTS},
+  st AS (SELECT *, lag(t) OVER w AS t0, lag(c) OVER w AS c0, first_value(t) OVER w AS t1, first_value(c) OVER w AS c1, row_number() OVER w AS k FROM pt WINDOW w AS (PARTITION BY task ORDER BY c)),
+  x AS (SELECT a.task, a.c, a.total, a.t, a.t1, a.c1, b.t0, b.c0, b.k, (b.t - b.t0) / (b.c - b.c0) AS cost, (b.c - b.c0) * pow(0.8, a.k - b.k) AS w
+    FROM st a JOIN st b ON a.task = b.task AND b.k BETWEEN a.k - {eta.KEPT_POINTS - 2} AND a.k WHERE a.c0 IS NOT NULL AND b.c0 IS NOT NULL),
+  m AS (SELECT task, c, total, t, t1, c1, sum(cost * w) / sum(w) AS mean, arg_min(t0, k) AS t0, arg_min(c0, k) AS c0 FROM x GROUP BY ALL),
+  v AS (SELECT m.*, s.var FROM m JOIN (SELECT x.task, x.c, sum(x.w * pow(x.cost - m.mean, 2)) / sum(x.w) AS var FROM x JOIN m ON x.task = m.task AND x.c = m.c GROUP BY x.task, x.c) s ON m.task = s.task AND m.c = s.c)
+  SELECT task, c AS completed, CAST(round(low * (total - c)) AS BIGINT) AS low, CAST(round(greatest(low * 1.2, mean + greatest(mean * 0.2, sqrt(var))) * (total - c)) AS BIGINT) AS high
+  FROM (SELECT *, greatest(mean, (t - t0) / (c - c0), (t - t1) / (c - c1)) AS low FROM v) WHERE t - t0 >= 10""")
+def eta_windows(spark, sf_dir):
+    rows = eta.eta_ranges(_progress_points(spark, sf_dir))
+    return _longs(rows.select("task", "completed", F.round("low").cast("long").alias("low"), F.round("high").cast("long").alias("high")))
 
 
 # --- entry -------------------------------------------------------------------------------

@@ -2,10 +2,11 @@
 
 A run keeps immutable revisions, each a folder of tables, and one pointer that is
 swapped last.  Tables are Parquet written by Spark; only control data (pointer,
-state, decisions of one review) passes through the driver.
+state, decisions of one review) passes through the driver.  A run is a folder that the
+driver and all executors mount, since the pointer is swapped by renaming.
 
 ``runs/<run>/revisions/r000001/{source,segments,findings,selected,suppressed,groups,
-decisions,reviews,rendered,passages}.parquet`` and ``runs/<run>/current.json``.
+counters,decisions,reviews,rendered,passages}.parquet`` and ``runs/<run>/current.json``.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from spanloom.operators import rank, resolve, review
 from spanloom.operators.detect import SparkDetector
 from spanloom.operators.model import Detector
+from spanloom.policy import Policy
 from spanloom.schemas import SpanloomError
 from spanloom.sources.packages import write_atomic
 
-TABLES = ("source", "segments", "findings", "selected", "suppressed", "groups", "decisions", "reviews", "rendered", "passages")
+TABLES = ("source", "segments", "findings", "selected", "suppressed", "groups", "counters", "decisions", "reviews", "rendered", "passages")
 RESOLVER_VERSION = 2
 _DECISIONS = "doc_id string, id string, action string, replacement string, note string"
 _REVIEWS = "doc_id string, segment_id string, outcome string, note string, text_sha256 string"
@@ -63,9 +65,13 @@ def _table(spark: SparkSession, folder: Path, name: str) -> DataFrame:
 
 
 def candidate_hash(rendered: DataFrame) -> str:
-    """A digest of the rendered text that does not depend on the order of rows or files."""
-    r = rendered.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id", "segment_id", F.sha2("text", 256)).cast("decimal(38,0)")).alias("s")).first()
-    return _digest([r["n"], str(r["s"])])
+    """A SHA-256 over the rendered text that does not depend on the order of rows or files: a tree of digests, documents first."""
+    over = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), " "), 256).alias("d")
+    row = F.sha2(F.to_json(F.struct("doc_id", "segment_id", "text")), 256)
+    level = rendered.groupBy("doc_id").agg(over(row))
+    for digits in (6, 4, 2):  # so that no node has more than some hundred times the documents of the next level's mean
+        level = level.groupBy(F.substring("d", 1, digits).alias("g")).agg(over("d"))
+    return _digest(sorted(r["d"] for r in level.select("d").collect()))  # 256 rows at most
 
 
 def load(spark: SparkSession, run: str | Path) -> tuple[dict[str, Any], dict[str, DataFrame]]:
@@ -119,7 +125,7 @@ def _commit(spark: SparkSession, run: Path, state: dict[str, Any], build: Callab
 
 
 def _project(
-    save: Save, state: dict[str, Any], source: DataFrame, segments: DataFrame, findings: DataFrame, decisions: DataFrame, reviews: DataFrame, old_groups: DataFrame | None
+    save: Save, state: dict[str, Any], source: DataFrame, segments: DataFrame, findings: DataFrame, decisions: DataFrame, reviews: DataFrame, old_groups: DataFrame | None, counters: DataFrame | None = None
 ) -> None:
     """Every table of a revision."""
     source, segments, findings = save("source", source), save("segments", segments), save("findings", findings)
@@ -130,8 +136,11 @@ def _project(
     if old_groups is None:
         groups = review.entity_groups(selected, segments)
     else:
-        groups = review.entity_groups(selected, segments, review.token_counters(old_groups), old_groups)
+        groups = review.entity_groups(selected, segments, counters, old_groups)
     groups = save("groups", groups)
+    now = review.token_counters(groups)
+    now = now if counters is None else now.unionByName(counters).groupBy("doc_id", "prefix").agg(F.max("n").alias("n"))
+    save("counters", now)  # a group that goes keeps its number
     decisions = save("decisions", decisions.join(selected.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi"))
     reviews = save("reviews", reviews)
     effects = review.effective(selected, groups, decisions)
@@ -152,7 +161,7 @@ def prepare(segments: DataFrame, run: str | Path, detector: Detector | None = No
     run.mkdir(parents=True)
     state = {
         "schema_version": 1, "run_id": uuid.uuid4().hex, "revision": 1, "resolver_version": RESOLVER_VERSION, "sample_size": sample_size, "detector": detector.metadata,
-        "policy_id": policy_id, "signed_off_by": "", "signed_sha256": "", "imports": [], "history": [{"at": _now(), "event": "prepared", "revision": 1}],
+        "policy_id": policy_id or detector.metadata.get("policy", ""), "signed_off_by": "", "signed_sha256": "", "signed_policy": "", "imports": [], "history": [{"at": _now(), "event": "prepared", "revision": 1}],
     }
     with run_lock(run):
         empty = spark.createDataFrame([], _DECISIONS), spark.createDataFrame([], _REVIEWS)
@@ -163,7 +172,7 @@ def view(spark: SparkSession, run: str | Path) -> dict[str, Any]:
     """State keys and the three decision tables as DataFrames."""
     state, t = load(spark, run)
     return {
-        **{k: state[k] for k in ("schema_version", "run_id", "revision", "candidate_sha256", "signed_off_by")},
+        **{k: state[k] for k in ("schema_version", "run_id", "revision", "candidate_sha256", "policy_id", "signed_off_by")},
         "groups": review.group_view(t["groups"], t["selected"], t["segments"]),
         "passages": t["passages"],
         "occurrences": review.occurrence_view(t["selected"], t["segments"], t["decisions"]),
@@ -189,6 +198,8 @@ def import_review(spark: SparkSession, run: str | Path, returned: dict[str, Any]
         for key in ("run_id", "revision", "candidate_sha256"):
             if returned.get(key) != state[key]:
                 raise SpanloomError(f"review: {key} is stale")
+        if returned.get("policy_id", state["policy_id"]) != state["policy_id"]:
+            raise SpanloomError("review: given under another policy")
         trusted = {
             "groups": review.group_view(t["groups"], t["selected"], t["segments"]), "passages": t["passages"],
             "occurrences": review.occurrence_view(t["selected"], t["segments"], t["decisions"]),
@@ -205,7 +216,7 @@ def import_review(spark: SparkSession, run: str | Path, returned: dict[str, Any]
         changed = edited or _differs(groups, t["groups"], ["doc_id", "group_id", "action", "replacement"]) or _differs(decisions, t["decisions"], ["doc_id", "id", "action", "replacement"])
         if changed and detector is None:
             raise SpanloomError("review: changes need the run's detector")
-        if changed and detector.metadata != state["detector"]:
+        if detector is not None and detector.metadata != state["detector"]:  # its policy's digest included
             raise SpanloomError("review: the detector is not the run's")
         segments, findings = t["segments"], t["findings"]
         if edited:
@@ -222,8 +233,8 @@ def import_review(spark: SparkSession, run: str | Path, returned: dict[str, Any]
         signed = str(returned.get("signed_off_by", "")).strip()
         state = state | {"revision": state["revision"] + 1, "imports": [*state["imports"], own], "history": [*state["history"], {"at": _now(), "event": "imported", "revision": state["revision"] + 1}]}
         old = state["candidate_sha256"]
-        state = state | {"signed_off_by": "" if changed else signed, "signed_sha256": "" if changed or not signed else old}
-        return _commit(spark, run, state, lambda save: _project(save, state, t["source"], segments, findings, decisions, reviews, groups))
+        state = state | {"signed_off_by": "" if changed else signed, "signed_sha256": "" if changed or not signed else old, "signed_policy": "" if changed or not signed else state["policy_id"]}
+        return _commit(spark, run, state, lambda save: _project(save, state, t["source"], segments, findings, decisions, reviews, groups, t["counters"]))
 
 
 def _differs(a: DataFrame, b: DataFrame, columns: list[str]) -> bool:
@@ -255,12 +266,16 @@ def status(spark: SparkSession, run: str | Path) -> DataFrame:
     return review.status(v["groups"], v["occurrences"], v["passages"])
 
 
-def export(spark: SparkSession, run: str | Path, dest: str | Path) -> dict[str, Any]:
-    """The signed candidate and a manifest of it, and nothing else."""
+def export(spark: SparkSession, run: str | Path, dest: str | Path, policy: Policy | None = None) -> dict[str, Any]:
+    """The signed candidate and a manifest of it, and nothing else; a policy, if given, must be the run's."""
     state, t = load(spark, run)
     dest = Path(dest)
+    if policy is not None and policy.digest() != state["detector"].get("policy"):
+        raise SpanloomError("export: the policy is not the run's")
     if not state["signed_off_by"] or state["signed_sha256"] != state["candidate_sha256"]:
         raise SpanloomError("export: the candidate is not signed off")
+    if state["signed_policy"] != state["policy_id"]:
+        raise SpanloomError("export: signed off under another policy")
     if state["resolver_version"] != RESOLVER_VERSION:
         raise SpanloomError("export: prepared by another resolver")
     if dest.exists():
