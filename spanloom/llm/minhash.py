@@ -23,7 +23,8 @@ agree, and 310 of 384 for what the first round leaves).
 Defined results: a null text is empty; texts without a word are linked to equal
 texts only; texts of one to four words have one shingle, of all their words; the
 class id is the smallest doc_id (nulls aside) and the rows with it stay; repeated
-rows of that id stay together; an empty table gives an empty result.
+rows of that id stay together; ids may be of any type that can be ordered; an empty table
+gives an empty result; extra columns pass through ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def sign(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str, width: in
     """doc_id, node (128 bits of the text's SHA-256), sketch longs and band keys of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # 2**FEATURE_BITS floats
     slim = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(id_col).alias("doc_id"),
         _node(text_col),
         F.col(text_col).cast("string").alias("text"),
     )
@@ -187,7 +188,8 @@ def sign(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str, width: in
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sketch(drawn), lists], names=["doc_id", "node", *_longs(DRAWS), "bands"])
 
-    return slim.mapInArrow(run, "doc_id long, node binary, " + ", ".join(f"{c} long" for c in _longs(DRAWS)) + ", bands array<long>")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(run, f"doc_id {kind}, node binary, " + ", ".join(f"{c} long" for c in _longs(DRAWS)) + ", bands array<long>")
 
 
 def more_draws(texts: DataFrame, idf: np.ndarray, width: int) -> DataFrame:
@@ -279,7 +281,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each class, with the input's columns."""
     own_id, own_node = private(docs, "id", "node")
     stay = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias(own_id), F.col("node").alias(own_node)).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (_node(text_col) == F.col(own_node)), "left_semi")
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col(own_id)) & (_node(text_col) == F.col(own_node)), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

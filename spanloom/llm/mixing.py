@@ -19,7 +19,8 @@ reruns agree.
 
 Defined results: null texts and texts without words have size 0 and are decided
 like others; a null source is a source of its own, last in order; identical rows
-are interchangeable; an empty table gives an empty result.
+are interchangeable; ids may be of any type that a string can say; an empty table gives an
+empty result; extra columns pass through ``apply_mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -175,12 +176,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     slim = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(id_col).cast("string").alias("doc_id"),  # as pandas would make floats of longs beside nulls
         F.col(source_col).cast("string").alias("source"),
         F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("tie"),
         F.col(text_col).cast("string").alias("text"),
     )
-    sized = durable(slim.mapInArrow(word_sizes, "doc_id long, source string, tie long, size long"))
+    sized = durable(slim.mapInArrow(word_sizes, "doc_id string, source string, tie long, size long"))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
     words = {r["source"]: int(r["words"]) for r in per_source}
     target = targets(words)
@@ -198,7 +199,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     known = plan.select("source_no", "source_size", "target", "whole")
     out = decided.join(few(known, len(lines)), "source_no").withColumn("repeats", (F.col("whole") + F.round("prob")).cast("int"))
     return out.select(
-        "doc_id", "source_no", "tie", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).cast("long").alias("taken")
+        F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "source_no", "tie", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).cast("long").alias("taken")
     )
 
 

@@ -12,13 +12,13 @@ can swap its partners for k without needing a sequence more, so fixing is safe.
 What is left is packed by best fit, longest first, again on classes.
 
 The plan says, for each length, which ranks go to which sequences and offsets.
-Its size depends on the histogram only (checked before it is broadcast).  Ranks
+Its size depends on the histogram only (a long one is not broadcast).  Ranks
 inside a length come from cells of bounded size, so that a hot length (many equal
 texts) does not meet in one task.
 
 Defined results: a null text is empty and has the end token only; ties are broken
 by (doc_id, piece, checksum); identical pieces are interchangeable; an empty table
-gives an empty result.
+gives an empty result; ids may be of any type; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ END_ID = 0
 CELL_ROWS = 20_000
 #: Distinct words whose ids a Python worker remembers (about 40 bytes each).
 CACHE_WORDS = 3_000_000
+#: Lines of the plan up to which it is broadcast; a longer one is dealt out by length.
 PLAN_LIMIT = 500_000
 
 
@@ -165,10 +166,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 class WordEncoder:
     """Ids of texts, word by word.
 
-    The tokenizer never joins characters across white space, nor an ASCII letter
-    with a full stop, comma or exclamation mark behind it, and it folds case; so a
-    text's ids are the ids of such parts one after another, and each distinct part
-    is encoded once.  Parts are known by (hash, hash) of their bytes.
+    Where a tokenizer never joins characters across white space, nor an ASCII letter
+    with a full stop, comma or exclamation mark behind it, and folds case, a text's ids
+    are the ids of such parts one after another, and each distinct part is encoded once.
+    That is tried on the tokenizer at hand; another kind encodes whole texts.  Parts
+    are known by a 64-bit hash of their bytes and length: two of a worker's few million
+    distinct parts share one with a probability under one in a million.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
@@ -180,8 +183,18 @@ class WordEncoder:
         kinds = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         others = iter(range(256, 512))
         self.letters = {b: chr(b) if b in set(kinds) else chr(next(others)) for b in range(256)}  # the byte-level alphabet
+        self.by_parts = self.holds()
         self.forget()
 
+    def holds(self) -> bool:
+        """Whether the tokenizer does what encoding by parts needs."""
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        words = ["the", "Haus", "ETWAS", "naïve", "é", "x", "token2", "don't", "a-b", "漢字", "12", "?"]
+        joined = all(ids(sep.join(pair)) == ids(pair[0]) + ids(pair[1]) for sep in " \t\n\x0b\x0c\r" for pair in zip(words, words[::-1], strict=True))
+        stops = all(ids(w + mark) == ids(w) + ids(mark) for w in ("the", "Haus", "x", "naiv") for mark in ".,!")
+        plain = all(ids(w) == [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, w.encode())))] for w in ("the", "haus", "naïve", "z"))
+        return joined and stops and plain and all(ids(w) == ids(w.lower()) for w in words)
+
     def forget(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)
         self.first = np.zeros(0, dtype=np.int64)
@@ -211,6 +224,10 @@ class WordEncoder:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows lo..hi one after another, and where each row's begin."""
+        if not self.by_parts:
+            texts = [raw[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace") for r in range(lo, hi)]
+            each = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate([[0], np.cumsum([len(e) for e in each])]).astype(np.int64)
         words = _Parts(raw, offsets, lo, hi)
         h = words.hashes()
         distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -268,7 +285,7 @@ def encoder(path: str) -> WordEncoder:
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
@@ -291,7 +308,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -300,8 +317,6 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, cell_rows: int = CELL_ROW
     pieces = durable(pieces)
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` lines
     layout, _ = plan(counts, capacity)
-    if len(layout) > PLAN_LIMIT:
-        raise ValueError(f"the plan has {len(layout)} lines; more than {PLAN_LIMIT} are not broadcast")
     # cells of a length: by a hash of the piece; identical pieces are counted first, so that no cell is hot
     cells = {s: math.ceil(n / cell_rows) for s, n in counts.items() if n > cell_rows}
     folded = pieces.groupBy("doc_id", "piece", "start", "length", "ids_crc32").agg(F.count(F.lit(1)).alias("copies"))
@@ -320,7 +335,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, cell_rows: int = CELL_ROW
     ranked = keyed.withColumn("ahead", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(sums, ["length", "cell"])
     ranked = ranked.withColumn("rank", F.explode(F.expr("sequence(cell_start + ahead, cell_start + ahead + copies - 1)")))
     lines = spark.createDataFrame(layout or [(-1, 0, 0, 0, 0)], "p_length long, lo long, hi long, seq0 long, offset long")
-    met = ranked.join(F.broadcast(lines), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    small = F.broadcast(lines) if len(layout) <= PLAN_LIMIT else lines
+    met = ranked.join(small, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return met.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq0") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 

@@ -113,12 +113,12 @@ def features(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np
     return at, keys & (_WORDS - 1), value, stats
 
 
-def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def _sample(docs: DataFrame, labels: DataFrame, sample: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Sparse features and label of the bounded training sample."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most ``sample`` rows: bounded, hence broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +139,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[np.nd
                     names=["doc_id", "quality", "feature", "value", "stats"],
                 )
 
-    made = rows.mapInArrow(run, "doc_id long, quality int, feature binary, value binary, stats binary").toArrow().sort_by([("doc_id", "ascending"), ("stats", "ascending")])
+    made = rows.mapInArrow(run, "doc_id string, quality int, feature binary, value binary, stats binary").toArrow().sort_by([("doc_id", "ascending"), ("stats", "ascending")])
     return [
         (np.frombuffer(f, dtype=np.uint16), np.frombuffer(v, dtype=np.float32), np.frombuffer(s, dtype=np.float32), int(q))
         for q, f, v, s in zip(*(made[c].to_pylist() for c in ("quality", "feature", "value", "stats")), strict=True)
@@ -184,8 +184,9 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], factors
     return Model(float(params[0][0]), params[1], params[2], mean, scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    return fit_rows(_sample(docs, labels, sample))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model of the labelled rows (labels: doc_id, quality) that are not held out."""
+    return fit_rows(_sample(docs, labels, sample, id_col, text_col))
 
 
 def predict(model: Model, raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -207,7 +208,7 @@ def predict(model: Model, raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # _SIZE x (factors + 1) floats
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +218,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out[lo:hi] = predict(shared.value, raw, offsets, lo, hi)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
-    return slim.mapInArrow(run, "doc_id long, score double")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

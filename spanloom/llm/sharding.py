@@ -14,7 +14,8 @@ exchange and unfolded after it.  The plan joined back has at most
 
 Defined results: null ids and texts hash as their own value; ties on the ring
 are ordered by (id, checksum, size); identical rows are interchangeable; an
-empty table gives an empty result; with fewer rows than shards some stay empty.
+empty table gives an empty result; ids may be of any type; other columns, whatever their names, are not
+read; with fewer rows than shards some stay empty.
 """
 
 from __future__ import annotations
