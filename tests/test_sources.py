@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import zipfile
 
 import pytest
@@ -106,7 +105,6 @@ def test_corpus(spark, tmp_path):
     assert segments.segment_violations(seg.unionByName(seg)).first()["violation"] == "duplicate_segment"
 
 
-@pytest.mark.skipif(not os.environ.get("SPANLOOM_SLOW"), reason="takes minutes: set SPANLOOM_SLOW")
 def test_run_life(spark, tmp_path):
     seg = spark.createDataFrame([("d", 1, "s000001", "Kim Lee: Hallo zusammen"), ("d", 2, "s000002", "Mail: kim@lee.de, Kim Lee."), ("d", 3, "s000003", "Nichts weiter")], "doc_id string, seg_no int, segment_id string, text string")
     run = tmp_path / "run"
