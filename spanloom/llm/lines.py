@@ -30,8 +30,9 @@ Linked lines are one class, chains included.  Of a class the earliest occurrence
 then place) stays, all others go, so that a line's leader always stays.  Equal lines
 are grouped first, so a line that a third of all documents share is one row in the join.
 
-Result: ``n_links`` counts the verified links of a line; links inside a class that
-was known already are not looked for, so it is at least one if the line has any.
+Result: ``n_links`` is the number of other distinct lines that a line is linked with.  Classes
+need only some of the links; all of them are counted afterwards inside each class (``link_counts``),
+as sums, so that no row is made for a pair.  ``dedup_lines`` needs no counts and leaves that out.
 
 Defined results: null and empty texts have no lines and stay as they are; blank and
 shorter lines always stay; a null doc_id ranks first; rows that repeat a document (same id
@@ -57,6 +58,9 @@ MIN_WORDS = 12
 WORDS_AN_EDIT = 20
 LONG = 2 * WORDS_AN_EDIT
 GRAM = 4
+#: Up to so many members of a class are all compared with each other, those of a larger one where they share a key; so many at once.
+TOGETHER = 512
+BLOCK = 128
 #: Long lines are cut at blanks behind these characters, which end about every fourth word of scripts that have them.
 CUT = "(?<=[aeimquyAEIMQUY!?;]) "
 #: Scripts written without blanks.
@@ -321,17 +325,49 @@ def payload(lines: DataFrame, edits: int) -> DataFrame:
     return lines.select(F.col("id").alias("node"), F.length("line").alias("chars"), letters.alias("letters"), let(words_of(F.col("line")), row).alias("w")).select("node", "chars", "letters", "w.*")
 
 
-def may_be_near(x: str, y: str, edits: int) -> Column:
+def may_be_near(x: Callable[[str], Column], y: Callable[[str], Column], edits: int) -> Column:
     """An edit changes a length by one, two bits of a parity at most, and four of the parity of neighbours: moved words don't pass."""
-    gap = lambda c: F.abs(F.col(f"{x}.{c}") - F.col(f"{y}.{c}"))
-    flipped = lambda c: F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
-    most = F.least(f"{x}.most", f"{y}.most")
+    gap = lambda c: F.abs(x(c) - y(c))
+    flipped = lambda c: F.bit_count(x(c).bitwiseXOR(y(c)))
+    most = F.least(x("most"), y("most"))
     by_chars = (gap("chars") <= edits) & (flipped("letters") <= 2 * edits)
     return by_chars | ((gap("words") <= most) & (flipped("w0") <= 2 * most) & (flipped("w1") <= 4 * most))
 
 
-def line_classes(found: DataFrame, min_chars: int, edits: int) -> DataFrame:
-    """id, leader (first occurrence in its class), copies and n_links of every line that is not alone."""
+def link_counts(live: DataFrame, roots: DataFrame, edits: int) -> DataFrame:
+    """node and n_links of every line with a link; live: id, line, keys; roots: node, root.
+
+    Linked lines are in one class and share a key.  The members of a class, or of a large
+    class those with a common key, are dealt into blocks; two blocks (or one and itself)
+    meet in one row, which counts.  Lines that share several keys count at the least.
+    """
+    many = roots.groupBy("root").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(plain("root"), "many")
+    own = live.join(roots.join(many, "root"), F.col("id") == F.col("node")).select("id", "line", "keys", "root", "many")
+    whole = F.col("many") <= TOGETHER
+    places = own.select(F.col("id").alias("node"), "root", whole.alias("whole"), F.explode(F.when(whole, F.array("root")).otherwise(F.col("keys"))).alias("key"))
+    size = places.groupBy("root", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(plain("root"), plain("key"), "size")
+    dealt = places.join(size, ["root", "key"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sides = dealt.select("node", "root", "key", "whole", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    facts = payload(own, edits).join(own.select(F.col("id").alias("node"), "keys", F.col("line").alias("text"), words_of(F.col("line")).alias("split")), "node")
+    sides = sides.join(facts.select(plain("node"), F.struct(*[c for c in facts.columns if c != "node"]).alias("of")), "node")
+    met = sides.groupBy("root", "key", "whole", "low", "high").agg(F.collect_list(F.struct("node", "block", "of")).alias("g"))
+
+    def linked(x: Column, y: Column) -> Column:
+        a, b = x["of"], y["of"]
+        apart = (x["node"] != y["node"]) & ((F.col("low") == F.col("high")) | (x["block"] != y["block"]))
+        once = F.col("whole") | (F.array_min(F.array_intersect(a["keys"], b["keys"])) == F.col("key"))
+        differ = F.size(F.filter(F.zip_with(a["split"], b["split"], lambda v, w: v != w), lambda d: d))
+        replaced = (a["words"] == b["words"]) & F.when(a["words"] == b["words"], differ <= a["most"]).otherwise(F.lit(False))  # most links, at little cost
+        near = ((a["most"] > 0) & replaced) | near_lines(a["text"], b["text"], edits)
+        return F.when(~apart | ~may_be_near(a.getField, b.getField, edits), F.lit(False)).when(once, near).otherwise(F.lit(False))
+
+    counts = F.transform("g", lambda x: F.struct(x["node"].alias("node"), F.size(F.filter("g", lambda y: linked(x, y))).alias("n")))
+    return met.select(F.inline(counts)).where("n > 0").groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def line_classes(found: DataFrame, min_chars: int, edits: int, count: bool = True) -> DataFrame:
+    """id, leader (first occurrence in its class), copies and n_links of every line that is not alone; without ``count``, links that classes needed."""
     work = Work(found.sparkSession, "lines")
     lines = distinct_lines(found, min_chars)
     shared = shared_keys(lines, edits).withColumnRenamed("id", "s_id")
@@ -344,18 +380,21 @@ def line_classes(found: DataFrame, min_chars: int, edits: int) -> DataFrame:
     def verify(pairs: DataFrame, n: int) -> DataFrame:
         return pair_texts(pairs, n, texts).where(near_lines(F.col("text_a"), F.col("text_b"), edits)).select(pairs.columns)
 
-    roots, links = classes(work, members, lambda x, y: may_be_near(x, y, edits), verify)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    roots, links = classes(work, members, lambda x, y: may_be_near(lambda c: F.col(f"{x}.{c}"), lambda c: F.col(f"{y}.{c}"), edits), verify)
+    ends = link_counts(live, roots, edits) if count else links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     lead = table.select("id", "pos", "n").join(roots.join(ends, "node", "left").withColumnRenamed("node", "id"), "id", "left")
     lead, _ = work.write(lead.select("id", "pos", "n", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).where("n > 1 or n_links > 0"))
     first = lead.groupBy("root").agg(F.min("pos").alias("leader"))
     return lead.join(first, "root").select("id", "leader", F.col("n").alias("copies"), "n_links")
 
 
-def judged_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, row_key, line_no, n_chars, copies, n_links, leader_doc, leader_line and kept for every line that takes part."""
+def judged_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, count: bool = True) -> DataFrame:
+    """doc_id, row_key, line_no, n_chars, copies, n_links, leader_doc, leader_line and kept for every line that takes part.
+
+    Without ``count``, n_links has only the links that classes needed.
+    """
     found = occurrences(docs, id_col, text_col)
-    lead = line_classes(found, min_chars, edits).select(plain("id"), "leader", "copies", "n_links").withColumnRenamed("id", "g_id")
+    lead = line_classes(found, min_chars, edits, count).select(plain("id"), "leader", "copies", "n_links").withColumnRenamed("id", "g_id")
     parts = found.where(takes_part(min_chars)).select("doc_id", "row_key", "line_no", F.length("line").cast("long").alias("n_chars"), line_id().alias("id"))
     met = parts.join(lead, F.col("id") == F.col("g_id"), "left")
     own = F.struct("doc_id", "line_no")
@@ -373,7 +412,7 @@ def judged_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, drop_emptied: bool = False) -> DataFrame:
     """Texts without the lines that go; one of which only blank lines are left is dropped if asked for."""
     key, own_key, gone, new = private(docs, "g_key", "row_key", "gone", "new")
-    found = judged_lines(docs, id_col, text_col, edits, min_chars).where("not kept")
+    found = judged_lines(docs, id_col, text_col, edits, min_chars, count=False).where("not kept")
     found = found.groupBy(F.col("row_key").alias(key)).agg(F.collect_set("line_no").alias(gone))
     keyed = docs.withColumn(own_key, F.xxhash64(F.col(id_col), F.col(text_col)))
     met = keyed.join(found, F.col(key) == F.col(own_key), "left")

@@ -214,6 +214,32 @@ def test_long_lines_link_by_words(spark):
     assert {r["doc_id"]: r["leader_doc"] for r in lines.judged_lines(pair).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+@pytest.mark.parametrize("together", [512, 3])
+def test_every_link_is_counted(spark, monkeypatch, together):
+    """A group of near copies: links inside a class count too, in classes of any size and over several blocks."""
+    monkeypatch.setattr(lines, "TOGETHER", together)
+    monkeypatch.setattr(lines, "BLOCK", 7)
+    rng = random.Random(16)
+    seeds = [prose(rng, n) for n in (6, 14, 30, 45, 90)]
+
+    def change(a):
+        a = a.split(" ")
+        i = rng.randrange(len(a))
+        a[i : i + 1] = [["zz" + prose(rng, 1)], ["zz" + prose(rng, 1), a[i]], []][rng.randrange(3)]
+        return " ".join(a)
+
+    made = list(dict.fromkeys(x for s in seeds for x in [s, *(change(s) if i % 2 else mutate(rng, s, 1) for i in range(15))] if len(x) >= 30))
+
+    def near(a, b):
+        x, y = a.split(" "), b.split(" ")
+        n = min(len(x), len(y))
+        return (n >= 12 and distance(x, y) <= max(1, n // 20)) or (abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2)
+
+    want = {i: sum(near(a, b) for b in made if b != a) for i, a in enumerate(made)}
+    rows = lines.judged_lines(spark.createDataFrame([*enumerate(made), (1000, made[0])], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in rows} == want | {1000: want[0]} and max(want.values()) > 14
+
+
 def test_short_lines_are_deduplicated(spark):
     rows = [(1, "Les.\n\nkurze Zeile eins zwei\n\r"), (2, "Les.\n\nkurze Zeile eins zwai\n\r"), (3, "Des.\nLes.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
