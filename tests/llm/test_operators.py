@@ -699,6 +699,12 @@ def test_whole_lines_of_any_length(spark, empty):
         assert all(r["n_words"] >= min_line_words for r in spans)
 
 
+def test_query_reports_short_repeated_lines(spark, tmp_path):
+    texts = ["Eine kurze Zeile.\nerste eigene Worte", "zweite andere Worte\neine  kurze Zeile.", "nichts davon"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in substrings.query(spark, str(tmp_path)).collect()] == [(1, 20, 38, 3, 1, 0)]
+
+
 def test_unit_digests_do_not_depend_on_place():
     rng = random.Random(12)
     passage = prose(rng, 40)
