@@ -52,9 +52,13 @@ def with_payload(members: DataFrame, payload: DataFrame) -> DataFrame:
 
 
 def _central(side: DataFrame) -> DataFrame:
-    """The member of each bucket that shares most places."""
-    order = ["degree", "node", *[c for c in side.columns if c not in ("degree", "node", "key")]]
-    return side.groupBy("key").agg(F.max(F.struct(*order)).alias("top")).select(plain("key"), "top.*").select(*side.columns)
+    """The member of each bucket that shares most places; its keys are those of the buckets that it is the hub of."""
+    order = ["degree", "node", *[c for c in side.columns if c not in ("degree", "node", "key", "keys")]]
+    hubs = side.groupBy("key").agg(F.max(F.struct(*order)).alias("top")).select("key", "top.*")
+    rest = [c for c in side.columns if c not in ("node", "key", "keys", "size")]
+    led = hubs.groupBy("node").agg(F.first(F.struct(*rest)).alias("own"), F.collect_list(F.struct("key", "size")).alias("led"))
+    led = led.select("node", "own", F.col("led.key").alias("keys"), F.inline("led"))
+    return led.select("node", plain("key"), "size", "keys", "own.*").select(*side.columns)
 
 
 def _place(low: float, high: float) -> Column:
@@ -63,12 +67,11 @@ def _place(low: float, high: float) -> Column:
     return (at >= low) & (at < high)
 
 
-def _met(side: DataFrame, hubs: DataFrame, once: bool, near: Callable[[str, str], Column]) -> DataFrame:
-    """Pairs a < b of a hub and a member of another class, with their classes; once: in the least of their common buckets only."""
+def _met(side: DataFrame, hubs: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs a < b of a hub and a member of another class, with their classes, in the least only of the buckets that the hub is to meet it in (its keys)."""
     x, y = side.alias("x"), hubs.alias("y")
     close = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near("x", "y")
-    if once:
-        close = close & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
+    close = close & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
     met = x.join(y, close)
     first = F.col("x.node") < F.col("y.node")
     way = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
@@ -88,7 +91,7 @@ def classes(work: Work, members: DataFrame, near: Callable[[str, str], Column],
     low, high, links = 0, 0, []  # round 0
     while seen["n"]:
         hubs = side.where(_place(low, high)) if high else _central(side)
-        pairs, met = work.write(_met(side, hubs, high > 0, near))
+        pairs, met = work.write(_met(side, hubs, near))
         edges, found = work.write(verify(pairs, met["n"]))
         work.drop(pairs)
         if found["n"]:

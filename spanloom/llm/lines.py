@@ -56,13 +56,23 @@ MIN_CHARS = 1
 CHARS_AN_EDIT = 15
 MIN_WORDS = 12
 WORDS_AN_EDIT = 20
-LONG = 2 * WORDS_AN_EDIT
+#: Least numbers of words of classes of lines whose segments are found from their ends; beyond the last class, content cuts pieces.
+CLASSES = (20, 28, 40, 60)
+LONG = 4 * WORDS_AN_EDIT
+#: Words between segments, and edits of code points up to which segments of words are long enough.
+GAP = 2
+MOST_EDITS = 4
+#: Lines of so few code points meet by segments of lines of exactly their length, longer ones by classes of lengths.
+EXACT = 48
 GRAM = 4
 #: Up to so many members of a class are all compared with each other, those of a larger one where they share a key; so many at once.
 TOGETHER = 512
 BLOCK = 128
+#: Lines of so many words have parities of their own for four kinds of words; a plain edit distance is not taken of lines of so many code points.
+MANY = 100
+VERY_LONG = 2000
 #: Long lines are cut at blanks behind these characters, which end about every fourth word of scripts that have them.
-CUT = "(?<=[aeimquyAEIMQUY!?;]) "
+CUT = " (?<=[aeimquyAEIMQUY!?;] )"
 #: Scripts written without blanks.
 UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
 
@@ -75,14 +85,14 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, row_key, line_no and line for every line of every text."""
     text = text_or_empty(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.split(text, "\n", -1).alias("lines"))
-    return base.select("doc_id", "row_key", F.posexplode("lines").alias("line_no", "raw")).select(
+    return base.select("doc_id", "row_key", F.posexplode_outer("lines").alias("line_no", "raw")).select(
         "doc_id", "row_key", "line_no", F.trim("raw").alias("line")
     )
 
 
 def takes_part(min_chars: int) -> Column:
     """Lines of ``min_chars`` code points or more with something else than blanks in them."""
-    return (F.length("line") >= min_chars) & (F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "")
+    return (F.length("line") >= min_chars) & (F.ltrim("line", F.lit(" \t\r\x0b\x0c")) != "")
 
 
 def line_id() -> Column:
@@ -90,16 +100,6 @@ def line_id() -> Column:
     return F.xxhash64("line").bitwiseAND(F.lit(-2))
 
 
-def distinct_lines(found: DataFrame, min_chars: int) -> DataFrame:
-    """One row a distinct line: id, line, its first occurrence and how many there are."""
-    return (
-        found.where(takes_part(min_chars))
-        .groupBy(line_id().alias("id"))
-        .agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
-        .where("n > 0 and pos is not null and line is not null")  # keeps every use's columns, hence its exchange, the same
-    )
-
-
 def probe_moves(edits: int) -> list[tuple[int, int, int]]:
     """(how much shorter, segment, move): where a segment of a shorter line can lie in a line."""
     out = []
@@ -111,30 +111,150 @@ def probe_moves(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment_places(edits: int) -> Column:
-    """(edits, how much shorter, segment, move, indexed) of every place at which a line has a key; its own segments are indexed."""
-    return F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip((edits, *place, place[0] == place[2] == 0), "esimt", strict=True)]) for place in probe_moves(edits)])
+def anchors(edits: int) -> list[tuple[int, int]]:
+    """(segment, how far it can have moved) for a line in ``edits + 1`` segments, each found from the nearer end.
+
+    The first segment up to whose end there are no more edits than segments before it is whole, has as many edits
+    before it as segments, and at most the rest of the edits behind it.
+    """
+    return [(i, min(i, edits - i)) for i in range(edits + 1)]
+
+
+def word_classes(edits: int) -> list[tuple[int, int]]:
+    """Least and next number of words of each class; lines of fewer words meet by code points and halves, those of more by pieces."""
+    if edits > MOST_EDITS:
+        return [(LONG // 2, LONG // 2)]
+    return list(zip(CLASSES, (*CLASSES[1:], LONG), strict=True))
+
+
+def place(by_words: bool, which: int, at: int, i: int, m: int, indexed: bool) -> Column:
+    """A negative long for a key that is still to be made: which class, where a segment begins (negative: from the end), its number, and its words or its move."""
+    return F.lit(-(1 << 63) | by_words << 50 | which << 40 | (at + 512) << 30 | i << 20 | (m + 512) << 10 | indexed)
+
+
+def whole(key: Column, indexed: Column | bool = True) -> Column:
+    """A long that is not negative for a key as it is; the last bit is set if it is indexed."""
+    flag = F.lit(int(indexed)) if isinstance(indexed, bool) else indexed.cast("int")
+    return key.bitwiseAND(F.lit((1 << 63) - 2)).bitwiseOR(flag.cast("long"))
+
+
+def exact_keys(line: Column, n: Column, edits: int) -> Column:
+    """Keys of a line among lines of exactly its length or some more: its own segments, which are indexed, and every place that one can have moved to (0: none)."""
+    div = lambda x, y: F.call_function("div", x, y).cast("int")
+
+    def keyed(p: Column) -> Column:
+        length, k = n - p["s"], p["e"] + 1
+
+        def inside(f: Column) -> Column:
+            at, own = p["i"] * f["size"] + F.greatest(F.lit(0), p["i"] - f["short"]) + p["m"], f["size"] + F.when(p["i"] >= f["short"], 1).otherwise(0)
+            fits = (at >= 0) & (at + own <= n) & (F.least(F.lit(edits), div(length, F.lit(CHARS_AN_EDIT))) == p["e"])
+            return F.when(fits, whole(F.xxhash64(F.lit(2), p["e"], length, p["i"], F.substring(line, at + 1, own)), p["t"])).otherwise(F.lit(0).cast("long"))
+
+        return let(F.struct(div(length, k).alias("size"), (k - length % k).alias("short")), inside)  # so many segments come first that are shorter by one
+
+    # where the threshold changes, a line looks for shorter ones by theirs
+    ends = lambda e: max(EXACT, edits * CHARS_AN_EDIT) if e == edits else (e + 1) * CHARS_AN_EDIT
+    each = [F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip((e, *at, at[0] == at[2] == 0), "esimt", strict=True)]) for at in probe_moves(e)]) for e in range(1, edits + 1)]
+    known = F.concat(*[F.when((n >= e * CHARS_AN_EDIT) & (n < ends(e) + e), places).otherwise(F.slice(places, 1, 0)) for e, places in enumerate(each, 1)])
+    return F.transform(known, keyed)
+
+
+def length_places(edits: int) -> Column:
+    """Segments of lines of a class of lengths, the line's own and the next; they begin at multiples of their size."""
+    return F.array(*[place(False, which, i if 2 * i <= edits else i - edits - 1, i, move, move == 0) for which in (0, 1) for i, far in anchors(edits) for move in range(-far, far + 1)])
+
+
+def word_places(least: int, beyond: int, edits: int, step: int) -> Column:
+    """Segments of lines of a class of numbers of words; ``step``: how many words an edit can move the rest of the line.
+
+    A code point can change three neighbouring words, so that there are ``GAP`` words between segments.
+    """
+    most = max(edits, (beyond - 1) // WORDS_AN_EDIT)
+    room = least - max(edits, (least - 1) // WORDS_AN_EDIT) - GAP * most
+    out = []
+    for i, far in anchors(most):
+        size = room // (most + 1)
+        at = i * (size + GAP) if i <= most - i else -(size + (most - i) * (size + GAP))
+        out += [place(True, least, at + move, i, size, move == 0) for move in range(-far * step, far * step + 1)]
+    return F.array(*out)
+
+
+def length_class(length: Column) -> Column:
+    """The length without all but its three leading bits: classes an eighth to a quarter wide."""
+    drop = F.floor(F.log2(length)).cast("int") - 2
+    return F.call_function("shiftleft", F.call_function("shiftright", length, drop), drop)
+
+
+def whole_keys(words: Column, edits: int) -> tuple[Column, Column]:
+    """Keys of a line of few words (its halves), and of a line of many (its longest pieces)."""
+
+    def halves(w: Column) -> Column:
+        n = F.size(w)
+        sizes = F.array_distinct(F.array(F.floor((n - 1) / 2).cast("int"), F.floor((n - 2) / 2).cast("int")))
+        both = lambda k: F.array(F.xxhash64(F.lit(0), k, F.slice(w, F.lit(1), k)), F.xxhash64(F.lit(1), k, F.slice(w, n - k + 1, k)))
+        return F.flatten(F.transform(sizes, both))
+
+    def least_runs(w: Column, most: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(GRAM)]))
+        # an edit of a word breaks GRAM runs at most; one of a code point changes up to three words in a row
+        broken = F.greatest(GRAM * most, F.lit((GRAM + 2) * edits))
+        return F.slice(F.sort_array(F.array_distinct(runs)), F.lit(1), broken + 1)
+
+    def longest_pieces(w: Column) -> Column:
+        most = word_edits(F.size(w))
+        # an edit changes a piece, and the next one if it makes or removes a cut
+        broken = 2 * F.greatest(most, F.lit(edits))
+
+        def ranked(x: Column) -> Column:
+            long = F.shiftleft((4095 - F.least(F.octet_length(x), F.lit(4095))).cast("long"), 51)
+            return long.bitwiseOR(F.shiftrightunsigned(F.xxhash64(x), 13))
+
+        pieces = F.transform(F.split("line", CUT, -1), ranked)
+        # too few to be sure of one: all of them, and runs
+        few = lambda h: F.when(F.size(h) > broken, F.slice(F.sort_array(h), F.lit(1), broken + 1)).otherwise(F.concat(h, least_runs(w, most)))
+        return let(F.array_distinct(pieces), few)
+
+    return halves(words), longest_pieces(words)
 
 
-def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """id, key, indexed for lines (id, line) of few words.
+def line_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """key and tag of every line (id, line): its id, the last bit set if the key is indexed.
 
     The places are unfolded before the key is computed, so that one small expression
     serves all of them; written out side by side they make a method that the JVM does not compile.
     """
-    n = F.length("line")
-    # where the threshold changes, a line looks for shorter ones by theirs
-    has = lambda e: (n >= e * CHARS_AN_EDIT) & (F.lit(e == edits) | (n < (e + 1) * CHARS_AN_EDIT + e))
-    known = F.concat(*[F.when(has(e), segment_places(e)).otherwise(F.slice(segment_places(e), 1, 0)) for e in range(1, edits + 1)])
-    rows = lines.select("id", "line", n.alias("n"), F.explode(known).alias("p"))
-    length = F.col("n") - F.col("p.s")
-    i, k = F.col("p.i"), F.col("p.e") + 1
-    size = F.floor(length / k).cast("int")
-    short = k - length % k  # so many segments come first that are shorter by one
-    at, own = 1 + i * size + F.greatest(F.lit(0), i - short) + F.col("p.m"), size + F.when(i >= short, 1).otherwise(0)
-    own_edits = F.least(F.lit(edits), F.floor(length / CHARS_AN_EDIT).cast("int"))
-    inside = rows.where((own_edits == F.col("p.e")) & (at >= 1) & (at + own - 1 <= F.col("n")))
-    return inside.select("id", F.xxhash64(F.col("p.e"), length, i, F.substring(F.col("line"), at, own)).alias("key"), F.col("p.t").alias("indexed"))
+    each, n, size = word_classes(edits), F.col("n"), F.size("w")
+    first, last = each[0][0], each[-1][1]
+    lines = lines.select("id", "line", F.length("line").alias("n"), is_wide(F.col("line")).alias("wide"))
+    lines = lines.select("id", "line", "n", "wide", F.inline(F.array(F.struct(words_of(F.col("line"), F.col("wide")).alias("w")))))
+    # linked lines have one class in common: a line looks up, as it may be the shorter one, and one that words
+    # of a single character can have made longer looks down
+    low, high = size - F.when(F.col("wide"), 2 * edits).otherwise(0), size + F.greatest(F.lit(edits), word_edits(size))
+    none = F.array().cast("array<bigint>")
+    given = lambda keys: F.transform(keys, lambda h: whole(h))
+    halves, pieces = whole_keys(F.col("w"), edits)
+    exact, one = max(EXACT, edits * CHARS_AN_EDIT), sum(2 * far + 1 for _, far in anchors(edits))
+    by_length = F.when(length_class(n) == length_class(n + edits), F.slice(length_places(edits), 1, one)).otherwise(length_places(edits))
+    parts = [F.when((low < first) & (n < exact + edits), exact_keys(F.col("line"), n, edits)), F.when((low < first) & (n >= exact), by_length)]
+    for least, beyond in each:
+        if least < beyond:
+            parts += [F.when((high < least) | (low >= beyond), none).when(F.col("wide"), word_places(least, beyond, edits, 2)).otherwise(word_places(least, beyond, edits, 1))]
+    parts += [F.when((low < first) & (size >= MIN_WORDS), given(halves)), F.when(high >= last, given(pieces))]
+    # functions of elements run outside of generated code, so they come before and not in the step that unfolds; that
+    # one is an outer one, as Spark works arrays out twice otherwise, to see whether they are empty
+    places = F.concat(*[F.coalesce(x, none) for x in parts]).alias("places")
+    sized = lambda c: F.floor(F.greatest(F.lit(edits * CHARS_AN_EDIT), c - edits) / (edits + 1)).cast("int")
+    of_class = [f(x).alias(f"{c}{k}") for c, f in (("l", length_class), ("z", lambda x: sized(length_class(x)))) for k, x in enumerate((n, n + edits))]
+    rows = lines.select("id", "line", "n", "w", *of_class, places).select("id", "line", "n", "w", "l0", "l1", "z0", "z1", F.explode_outer("places").alias("p")).where("p != 0")
+    p = F.col("p")
+    field = lambda at: F.shiftright(p, at).bitwiseAND(F.lit(1023)).cast("int")
+    which, at, i, m = field(40), field(30) - 512, field(20), field(10) - 512
+    by_words = F.xxhash64(which, i, F.slice("w", F.when(at < 0, size).otherwise(0) + at + 1, m))
+    start = F.when(at < 0, n).otherwise(0) + at * F.when(which == 0, F.col("z0")).otherwise(F.col("z1")) + m + 1
+    by_chars = F.xxhash64(F.when(which == 0, F.col("l0")).otherwise(F.col("l1")), i, F.substring(F.col("line"), start, F.when(which == 0, F.col("z0")).otherwise(F.col("z1"))))
+    made = F.when(p.bitwiseAND(F.lit(1 << 50)) != 0, by_words).otherwise(by_chars)
+    key = F.when(p >= 0, p).otherwise(made).bitwiseAND(F.lit(-2))
+    return rows.select(F.coalesce(key, F.lit(0)).alias("key"), F.col("id").bitwiseOR(p.bitwiseAND(F.lit(1))).alias("tag"))
 
 
 def _common_head(a: Column, b: Column) -> Column:
@@ -216,10 +336,14 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= edits) & let(_common_head(a, b), cores)
 
 
-def words_of(line: Column) -> Column:
+def is_wide(line: Column) -> Column:
+    """Whether there are characters of scripts without blanks; none of them is before U+0E00, which takes little to see."""
+    return (F.octet_length(line) > F.length(line)) & line.rlike("[^\\x00-\\u0DFF]") & line.rlike(UNSPACED)
+
+
+def words_of(line: Column, wide: Column | None = None) -> Column:
     """Pieces between blanks; characters of scripts without blanks are pieces of their own."""
-    wide = (F.octet_length(line) > F.length(line)) & line.rlike(UNSPACED)
-    return F.split(F.when(wide, F.regexp_replace(line, UNSPACED, " $1 ")).otherwise(line), " ", -1)
+    return F.split(F.when(is_wide(line) if wide is None else wide, F.regexp_replace(line, UNSPACED, " $1 ")).otherwise(line), " ", -1)
 
 
 def char_edits(length: Column, edits: int) -> Column:
@@ -232,53 +356,6 @@ def word_edits(n: Column) -> Column:
     return F.when(n < MIN_WORDS, 0).otherwise(F.greatest(F.lit(1), F.floor(n / WORDS_AN_EDIT).cast("int")))
 
 
-def word_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """id, key, indexed (always): halves of shorter lines, the longest pieces of longer ones; lines: id, line, words."""
-
-    def halves(w: Column) -> Column:
-        n = F.size(w)
-        sizes = F.array_distinct(F.array(F.floor((n - 1) / 2).cast("int"), F.floor((n - 2) / 2).cast("int")))
-        both = lambda k: F.array(F.xxhash64(F.lit(0), k, F.slice(w, F.lit(1), k)), F.xxhash64(F.lit(1), k, F.slice(w, n - k + 1, k)))
-        return F.flatten(F.transform(sizes, both))
-
-    def least_runs(w: Column, most: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(GRAM)]))
-        # an edit of a word breaks GRAM runs at most; one of a code point changes up to three words in a row
-        broken = F.greatest(GRAM * most, F.lit((GRAM + 2) * edits))
-        return F.slice(F.sort_array(F.array_distinct(runs)), F.lit(1), broken + 1)
-
-    def longest_pieces(w: Column) -> Column:
-        most = word_edits(F.size(w))
-        # an edit changes a piece, and the next one if it makes or removes a cut: three pairs
-        broken = 3 * F.greatest(most, F.lit(edits))
-
-        def pair(c: Column, i: Column) -> Column:
-            x, y = F.get(c, i), F.get(c, i + 1)
-            long = F.shiftleft((4095 - F.least(F.length(x) + F.length(y), F.lit(4095))).cast("long"), 51)
-            return long.bitwiseOR(F.shiftrightunsigned(F.xxhash64(x, y), 13))
-
-        pairs = let(F.split("line", CUT, -1), lambda c: F.when(F.size(c) > 1, F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: pair(c, i))).otherwise(F.array().cast("array<bigint>")))
-        # too few pairs to be sure of one: all of them, and runs
-        few = lambda h: F.when(F.size(h) > broken, F.slice(F.sort_array(h), F.lit(1), broken + 1)).otherwise(F.concat(h, least_runs(w, most)))
-        return let(F.array_distinct(pairs), few)
-
-    w = F.col("words")
-    keys = F.when(F.size(w) < LONG, halves(w)).otherwise(longest_pieces(w))
-    # lines just below the limit meet those just above it by halves
-    more = F.when((F.size(w) >= LONG) & (F.size(w) <= LONG + 1), halves(w)).otherwise(F.array().cast("array<bigint>"))
-    rows = lines.where(F.size(w) >= MIN_WORDS).select("id", F.explode(F.concat(keys, more)).alias("key"))
-    return rows.select("id", "key", F.lit(True).alias("indexed"))
-
-
-def line_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """key and tag of every line: its id, the last bit set if the key is indexed."""
-    # an edit of a code point makes or removes two words at most; beyond that, lines meet by words
-    short = lines.where((F.substring_index("line", " ", LONG + 2 * edits) == F.col("line")) & (F.length("line") >= CHARS_AN_EDIT))
-    split = lines.select("id", "line", F.inline(F.array(F.struct(words_of(F.col("line")).alias("words")))))
-    rows = segment_keys(short.select("id", "line"), edits).unionByName(word_keys(split, edits))
-    return rows.select("key", F.col("id").bitwiseOR(F.col("indexed").cast("long")).alias("tag"))
-
-
 def shared_keys(lines: DataFrame, edits: int) -> DataFrame:
     """id and keys of every line that has a key in common with an indexed one."""
     rows = line_keys(lines, edits).repartition("key")
@@ -289,101 +366,116 @@ def shared_keys(lines: DataFrame, edits: int) -> DataFrame:
     return live.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
-def within_words(a: Column, b: Column) -> Column:
-    """Whether the edit distance in words is at most what the shorter line may have."""
+def word_code(words: Column, part: int) -> Column:
+    """One character of four bytes a word: 19 bits of the word's hash."""
+    bits = lambda h: F.shiftright(h, 24 * part).bitwiseAND(F.lit(0x023F3F3F)).bitwiseOR(F.lit(0xF1808080))
+    return F.unhex(F.array_join(F.transform(words, lambda h: F.hex(bits(h))), "")).cast("string")
 
-    def check(x: Column, y: Column) -> Column:
-        most = word_edits(F.least(F.size(x), F.size(y)))
-        distinct = F.array_distinct(F.concat(x, y))
-        # one character a word: UTF-32 from beyond the surrogates on
-        code = lambda seen, w: F.lpad(F.hex((F.array_position(seen, w) + 0xFFFF).cast("long")), 8, "0")
-        text = lambda seen, s: F.decode(F.unhex(F.array_join(F.transform(s, lambda w: code(seen, w)), "")), "UTF-32")
-        near = let(distinct, lambda seen: F.call_function("levenshtein", text(seen, x), text(seen, y), most) >= 0)
-        return F.when((most > 0) & (F.abs(F.size(x) - F.size(y)) <= most), near).otherwise(F.lit(False))
 
-    return let(F.struct(words_of(a).alias("x"), words_of(b).alias("y")), lambda p: check(p["x"], p["y"]))
+def payload(lines: DataFrame, edits: int) -> list[Column]:
+    """What links are judged by: chars, words, most (words that may differ), parities of words and neighbours, and words as characters.
 
+    A parity is a long in which each word or pair of neighbouring words flips the bit that its
+    hash names. Lines of ``MANY`` words have four more for words of four kinds.
+    """
+    flip = lambda total, h: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+    parity = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), flip)
+    pairs = lambda h: F.zip_with(h, F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(1))), lambda x, y: F.xxhash64(x, y))
+    kinds = lambda h: [F.when(F.size(h) >= MANY, parity(F.filter(h, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k))).otherwise(F.lit(0).cast("long")).alias(f"q{k}") for k in range(4)]
 
-def near_lines(a: Column, b: Column, edits: int) -> Column:
-    """Whether two lines are linked."""
-    few = char_edits(F.least(F.length(a), F.length(b)), edits)
-    by_chars = F.when(few == edits, within_edits(a, b, edits)).otherwise(F.call_function("levenshtein", a, b, few) >= 0)
-    return by_chars | within_words(a, b)
+    def row(h: Column) -> Column:
+        return F.struct(F.size(h).alias("words"), word_edits(F.size(h)).alias("most"), parity(h).alias("w0"), parity(pairs(h)).alias("w1"), *kinds(h), word_code(h, 0).alias("c0"), word_code(h, 1).alias("c1"))
 
+    of = let(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)), row)
+    return [F.length("line").alias("chars"), F.inline(F.array(of))]
 
-def payload(lines: DataFrame, edits: int) -> DataFrame:
-    """What the filter compares: node, chars, words, most (words that may differ) and parities of characters, words and neighbours.
 
-    A parity is a long in which each character, word or pair of neighbouring words flips the bit that its hash names.
-    """
-    flip = lambda seed: lambda total, x: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(F.lit(seed), x).bitwiseAND(F.lit(63)).cast("int")))
-    parity = lambda items, seed: F.aggregate(items, F.lit(0).cast("long"), flip(seed))
-    last = lambda w: F.greatest(F.size(w) - 2, F.lit(0))
-    pairs = lambda w: F.transform(F.sequence(F.lit(0), last(w)), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))
-    row = lambda w: F.struct(F.size(w).alias("words"), word_edits(F.size(w)).alias("most"), parity(w, 0).alias("w0"), parity(pairs(w), 1).alias("w1"))
-    letters = parity(F.split("line", "", -1), 2)
-    return lines.select(F.col("id").alias("node"), F.length("line").alias("chars"), letters.alias("letters"), let(words_of(F.col("line")), row).alias("w")).select("node", "chars", "letters", "w.*")
+#: Columns of ``payload`` that ``may_be_near`` compares, and those that ``near_lines`` needs besides.
+FILTER = ["chars", "words", "most", "w0", "w1", "q0", "q1", "q2", "q3"]
+FACTS = ["line", "chars", "words", "most", "c0", "c1"]
 
 
 def may_be_near(x: Callable[[str], Column], y: Callable[[str], Column], edits: int) -> Column:
-    """An edit changes a length by one, two bits of a parity at most, and four of the parity of neighbours: moved words don't pass."""
+    """An edit of a word changes two bits of its parity at most, and four of that of neighbours: moved words don't pass; one of a code point, up to three words for one."""
     gap = lambda c: F.abs(x(c) - y(c))
     flipped = lambda c: F.bit_count(x(c).bitwiseXOR(y(c)))
     most = F.least(x("most"), y("most"))
-    by_chars = (gap("chars") <= edits) & (flipped("letters") <= 2 * edits)
-    return by_chars | ((gap("words") <= most) & (flipped("w0") <= 2 * most) & (flipped("w1") <= 4 * most))
+    by_chars = (gap("chars") <= edits) & (flipped("w0") <= 4 * edits) & (flipped("w1") <= 6 * edits)
+    kinds = (F.least(x("words"), y("words")) < MANY) | (reduce(lambda a, b: a + b, [flipped(f"q{k}") for k in range(4)]) <= 2 * most)
+    return by_chars | ((gap("words") <= most) & (flipped("w0") <= 2 * most) & (flipped("w1") <= 4 * most) & kinds)
+
+
+def near_lines(x: Callable[[str], Column], y: Callable[[str], Column], edits: int) -> Column:
+    """Whether two lines are linked.
+
+    Words are compared by their hashes, in two codes one after another: each code's distance
+    is the true one at most.
+    """
+    gap = lambda c: F.abs(x(c) - y(c))
+    within = lambda c, most: F.call_function("levenshtein", x(c), y(c), most) >= 0
+    most = F.least(x("most"), y("most"))
+    by_words = (most > 0) & (gap("words") <= most) & within("c0", most) & within("c1", most)
+    few = char_edits(F.least(x("chars"), y("chars")), edits)
+    long = (F.least(x("chars"), y("chars")) >= VERY_LONG) & (few == edits)  # the function takes the square of the length
+    by_chars = F.when(long, within_edits(x("line"), y("line"), edits)).otherwise(within("line", few))
+    return by_words | ((gap("chars") <= few) & by_chars)
 
 
 def link_counts(live: DataFrame, roots: DataFrame, edits: int) -> DataFrame:
-    """node and n_links of every line with a link; live: id, line, keys; roots: node, root.
+    """node and n_links of every line with a link; live: id, line, keys and payload; roots: node, root.
 
     Linked lines are in one class and share a key.  The members of a class, or of a large
     class those with a common key, are dealt into blocks; two blocks (or one and itself)
     meet in one row, which counts.  Lines that share several keys count at the least.
     """
     many = roots.groupBy("root").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(plain("root"), "many")
-    own = live.join(roots.join(many, "root"), F.col("id") == F.col("node")).select("id", "line", "keys", "root", "many")
+    own = live.join(roots.join(many, "root").select("node", "root", "many"), F.col("id") == F.col("node"))
     whole = F.col("many") <= TOGETHER
-    places = own.select(F.col("id").alias("node"), "root", whole.alias("whole"), F.explode(F.when(whole, F.array("root")).otherwise(F.col("keys"))).alias("key"))
-    size = places.groupBy("root", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(plain("root"), plain("key"), "size")
-    dealt = places.join(size, ["root", "key"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    of = F.struct("node", *dict.fromkeys([*FILTER, *FACTS]), F.when(~whole, F.col("keys")).alias("keys"))
+    places = own.select("node", "root", whole.alias("whole"), of.alias("of"), F.explode(F.when(whole, F.array("root")).otherwise(F.col("keys"))).alias("key"), "many")
+    size = places.where("not whole").groupBy("root", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(plain("root"), plain("key"), "size")
+    alone = places.where("whole").withColumn("size", F.col("many"))
+    dealt = alone.unionByName(places.where("not whole").join(size, ["root", "key"]).select(*alone.columns)).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sides = dealt.select("node", "root", "key", "whole", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    facts = payload(own, edits).join(own.select(F.col("id").alias("node"), "keys", F.col("line").alias("text"), words_of(F.col("line")).alias("split")), "node")
-    sides = sides.join(facts.select(plain("node"), F.struct(*[c for c in facts.columns if c != "node"]).alias("of")), "node")
-    met = sides.groupBy("root", "key", "whole", "low", "high").agg(F.collect_list(F.struct("node", "block", "of")).alias("g"))
+    sides = dealt.select("of", "root", "key", "whole", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    met = sides.groupBy("root", "key", "whole", "low", "high").agg(F.collect_list(F.struct("block", "of")).alias("g"))
 
     def linked(x: Column, y: Column) -> Column:
         a, b = x["of"], y["of"]
-        apart = (x["node"] != y["node"]) & ((F.col("low") == F.col("high")) | (x["block"] != y["block"]))
+        apart = (a["node"] != b["node"]) & ((F.col("low") == F.col("high")) | (x["block"] != y["block"]))
         once = F.col("whole") | (F.array_min(F.array_intersect(a["keys"], b["keys"])) == F.col("key"))
-        differ = F.size(F.filter(F.zip_with(a["split"], b["split"], lambda v, w: v != w), lambda d: d))
-        replaced = (a["words"] == b["words"]) & F.when(a["words"] == b["words"], differ <= a["most"]).otherwise(F.lit(False))  # most links, at little cost
-        near = ((a["most"] > 0) & replaced) | near_lines(a["text"], b["text"], edits)
-        return F.when(~apart | ~may_be_near(a.getField, b.getField, edits), F.lit(False)).when(once, near).otherwise(F.lit(False))
+        return apart & may_be_near(a.getField, b.getField, edits) & once & near_lines(a.getField, b.getField, edits)
 
-    counts = F.transform("g", lambda x: F.struct(x["node"].alias("node"), F.size(F.filter("g", lambda y: linked(x, y))).alias("n")))
+    counts = F.transform("g", lambda x: F.struct(x["of"]["node"].alias("node"), F.size(F.filter("g", lambda y: linked(x, y))).alias("n")))
     return met.select(F.inline(counts)).where("n > 0").groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
-def line_classes(found: DataFrame, min_chars: int, edits: int, count: bool = True) -> DataFrame:
-    """id, leader (first occurrence in its class), copies and n_links of every line that is not alone; without ``count``, links that classes needed."""
+def line_classes(found: DataFrame, min_chars: int, edits: int, count: bool = True) -> tuple[DataFrame, DataFrame]:
+    """node and root of every line that shares a key with another, and node and n_links; without ``count``, links that classes needed."""
     work = Work(found.sparkSession, "lines")
-    lines = distinct_lines(found, min_chars)
-    shared = shared_keys(lines, edits).withColumnRenamed("id", "s_id")
-    table = lines.join(shared, F.col("id") == F.col("s_id"), "left").where("n > 1 or s_id is not null")
-    table, _ = work.write(table.select("id", "pos", "n", F.when(F.col("s_id").isNotNull(), F.col("line")).alias("line"), "keys"), small=0)
-    live = table.where("line is not null")
-    texts = live.select(F.col("id").alias("node"), F.col("line").alias("text"))
-    members = with_payload(sized(live.select(F.col("id").alias("node"), F.explode("keys").alias("key"))), payload(live, edits))
+    # no line's text is moved for its keys; equal lines have the same keys
+    lines = found.where(takes_part(min_chars)).select(line_id().alias("id"), "line")
+    shared, _ = work.write(shared_keys(lines, edits), small=0)  # apart, or the keys would be made twice
+    live = lines.join(shared.withColumnRenamed("id", "s_id").hint("shuffle_hash"), F.col("id") == F.col("s_id")).select("id", "line", "keys").dropDuplicates(["id"])
+    live, _ = work.write(live.select("id", "line", "keys", *payload(live, edits)), small=0)
+    texts = live.select(F.col("id").alias("node"), F.struct(*FACTS).alias("text"))
+    members = with_payload(sized(live.select(F.col("id").alias("node"), F.explode("keys").alias("key"))), live.select(F.col("id").alias("node"), *FILTER))
 
     def verify(pairs: DataFrame, n: int) -> DataFrame:
-        return pair_texts(pairs, n, texts).where(near_lines(F.col("text_a"), F.col("text_b"), edits)).select(pairs.columns)
+        near = near_lines(F.col("text_a").getField, F.col("text_b").getField, edits)
+        return pair_texts(pairs, n, texts).where(near).select(pairs.columns)
 
     roots, links = classes(work, members, lambda x, y: may_be_near(lambda c: F.col(f"{x}.{c}"), lambda c: F.col(f"{y}.{c}"), edits), verify)
     ends = link_counts(live, roots, edits) if count else links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    lead = table.select("id", "pos", "n").join(roots.join(ends, "node", "left").withColumnRenamed("node", "id"), "id", "left")
-    lead, _ = work.write(lead.select("id", "pos", "n", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).where("n > 1 or n_links > 0"))
+    return roots, ends
+
+
+def leaders(parts: DataFrame, roots: DataFrame, ends: DataFrame) -> DataFrame:
+    """id, leader (first occurrence in its class), copies and n_links of every line that is not alone; parts: id, doc_id, line_no."""
+    own = parts.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    lead = own.join(roots.join(ends, "node").withColumnRenamed("node", "id"), "id", "left")
+    lead = lead.select("id", "pos", "n", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).where("n > 1 or n_links > 0")
+    lead, _ = Work(parts.sparkSession, "leaders").write(lead)
     first = lead.groupBy("root").agg(F.min("pos").alias("leader"))
     return lead.join(first, "root").select("id", "leader", F.col("n").alias("copies"), "n_links")
 
@@ -394,8 +486,10 @@ def judged_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Without ``count``, n_links has only the links that classes needed.
     """
     found = occurrences(docs, id_col, text_col)
-    lead = line_classes(found, min_chars, edits, count).select(plain("id"), "leader", "copies", "n_links").withColumnRenamed("id", "g_id")
+    roots, ends = line_classes(found, min_chars, edits, count)
     parts = found.where(takes_part(min_chars)).select("doc_id", "row_key", "line_no", F.length("line").cast("long").alias("n_chars"), line_id().alias("id"))
+    parts, _ = Work(docs.sparkSession, "parts").write(parts, small=0)
+    lead = leaders(parts, roots, ends).select(plain("id"), "leader", "copies", "n_links").withColumnRenamed("id", "g_id")
     met = parts.join(lead, F.col("id") == F.col("g_id"), "left")
     own = F.struct("doc_id", "line_no")
     alone = F.col("g_id").isNull()

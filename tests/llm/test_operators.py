@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.llm import classes as classes_module
 from spanloom.llm import exact, lines, minhash, mixing, packing, quality_model, quality_rules, secrets, sharding, substrings
 from spanloom.llm.classes import classes, components
 from spanloom.llm.common import Words, Work, buffers, shingles, steps
@@ -240,6 +241,65 @@ def test_every_link_is_counted(spark, monkeypatch, together):
     assert {r["doc_id"]: r["n_links"] for r in rows} == want | {1000: want[0]} and max(want.values()) > 14
 
 
+def test_linked_lines_share_a_key(spark):
+    """Every edit of lines around the limits of all classes, in words and code points, with and without wide characters; few keys a line."""
+    rng = random.Random(23)
+    wide = lambda k: "".join(rng.choice("漢字仮名交文行") for _ in range(k))
+
+    def words(a, k):
+        a = a.split(" ")
+        for _ in range(k):
+            i = rng.randrange(len(a) + 1)
+            a[i : i + 1] = [["zz" + prose(rng, 1)], ["zz" + prose(rng, 1), *a[i : i + 1]], []][rng.randrange(3)]
+        return " ".join(a)
+
+    def chars(a, k):
+        for _ in range(k):
+            i = rng.randrange(len(a) + 1)
+            a = a[:i] + rng.choice(["", "x", " ", "漢", "é"]) + a[i + rng.randrange(2) :]
+        return a
+
+    seeds = [prose(rng, n) for n in (2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 17, 18, 19, 20, 21, 22, 25, 26, 27, 28, 29, 30, 37, 38, 39, 40, 41, 42, 57, 58, 59, 60, 61, 62, 76, 77, 78, 79, 80, 81, 82, 100, 140)]
+    seeds += [prose(rng, 30)[:n] for n in (*range(28, 35), *range(45, 53), *range(62, 67), *range(78, 82))] + [wide(n) for n in (8, 9, 10, 11, 12, 14, 19, 20, 21, 30, 40, 60)]
+    seeds += [f"{prose(rng, n)} {wide(3)} {prose(rng, m)}" for n, m in ((4, 4), (6, 6), (9, 9), (12, 11), (18, 17), (28, 27), (37, 36))]
+    seeds = [s.strip(" ") for s in seeds]
+    made = [(s, t.strip(" ")) for s in seeds for t in [*(chars(s, 1 + i % 2) for i in range(14)), *(words(s, max(1, len(s.split(" ")) // 20)) for _ in range(8))] if t.strip(" ")]
+    every = list(dict.fromkeys(x for pair in made for x in pair))
+    ids = {x: 2 * i for i, x in enumerate(every)}
+    keys = defaultdict(dict)
+    for r in lines.line_keys(spark.createDataFrame([(i, x) for x, i in ids.items()], "id long, line string"), lines.EDITS).collect():
+        keys[r["tag"] & -2][r["key"]] = keys[r["tag"] & -2].get(r["key"], 0) | r["tag"] & 1
+    split = lambda x: re.sub("([一-鿿぀-ヿ])", r" \1 ", x).split(" ")
+    linked = 0
+    for s, t in made:
+        a, b = split(s), split(t)
+        n = min(len(a), len(b))
+        by_words = n >= 12 and abs(len(a) - len(b)) <= max(1, n // 20) and distance(a, b) <= max(1, n // 20)
+        if s != t and (by_words or distance(s, t) <= min(2, min(len(s), len(t)) // 15)):
+            linked += 1
+            x, y = keys[ids[s]], keys[ids[t]]
+            assert any(x[k] | y[k] for k in x.keys() & y.keys()), (s, t)
+    assert linked > 900
+    # a line of 30 words had 16 keys at least
+    assert all(len(keys[ids[x]]) <= 10 for x in every if x.isascii() and 30 <= len(x.split(" ")) < 55)
+
+
+def test_a_member_meets_a_hub_once(spark):
+    """Members that share several buckets with one hub are one row of the join each, not one a bucket."""
+    rows = [(n, k) for n in range(20) for k in range(8) if (n + k) % 3]
+    members = classes_module.with_payload(classes_module.sized(spark.createDataFrame(rows, "node long, key long")), spark.createDataFrame([(n, n) for n in range(20)], "node long, text long"))
+    side = members.withColumn("root", F.col("node"))
+    hubs = classes_module._central(side)
+    top = {r["key"]: r["node"] for r in hubs.collect()}
+    want = {(n, top[k]) for n, k in rows if n != top[k]}
+    x, y = side.alias("x"), hubs.alias("y")
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    got = [tuple(r) for r in x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & once).select("x.node", "y.node").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    pairs = classes_module._met(side, hubs, lambda a, b: F.lit(True)).collect()
+    assert {(r["a"], r["b"]) for r in pairs} == {(min(p), max(p)) for p in want}
+
+
 def test_short_lines_are_deduplicated(spark):
     rows = [(1, "Les.\n\nkurze Zeile eins zwei\n\r"), (2, "Les.\n\nkurze Zeile eins zwai\n\r"), (3, "Des.\nLes.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
