@@ -7,17 +7,14 @@ lines of any such length are one; two different ones are linked when one of two
 * in words: a line of ``MIN_WORDS`` words or more may have an inserted, removed or
   changed word for each ``WORDS_AN_EDIT``, and one in any case, however long the word.
 
-Code points, for lines of up to ``LONG`` words: a line cut into ``edits + 1`` segments keeps
-one of them whole under that many edits.  Every distinct line is indexed by its segments,
-under (length, segment number, text), and looks, for every length from ``edits`` shorter up
-to its own, for each segment at the few places it can have moved to (the length difference
-bounds the shift on either side).
-
-Words: a line of up to ``LONG`` words keeps its first or last half under one edit of a word;
-halves are the keys.  A longer line would have too many segments for that, as the threshold
-grows with it, so it is cut where its own characters say so; an edit changes two of these pieces at
-most, hence three pairs of neighbours, and two linked lines share one among their longest pairs
-(as many as edits can change, and one).  A line of too few pieces has runs of ``GRAM`` words besides.
+Segments: with as many segments as edits and one more, some segment is whole and has moved by
+no more than the segments on its nearer side (``anchors``), so few keys serve all lengths of a class.
+Lines of fewer than 20 words meet by segments in code points (short ones by exact length), and from
+12 words on by halves; lines of up to ``LONG`` words by segments of words, with gaps between.
+A longer line would have too many segments, as the threshold grows with it, so it is cut where its
+own characters say so; an edit changes two of these pieces at most, and two linked lines share one
+among their longest (as many as edits can change, and one).  A line of too few pieces has runs of
+``GRAM`` words besides.
 Characters of scripts without blanks are words of their own.
 
 Keys that an index entry and another line have are buckets.  Lines of a bucket meet its
@@ -70,7 +67,7 @@ TOGETHER = 512
 BLOCK = 128
 #: Lines of so many words have parities of their own for four kinds of words; a plain edit distance is not taken of lines of so many code points.
 MANY = 100
-VERY_LONG = 2000
+VERY_LONG = 500
 #: Long lines are cut at blanks behind these characters, which end about every fourth word of scripts that have them.
 CUT = " (?<=[aeimquyAEIMQUY!?;] )"
 #: Scripts written without blanks.
@@ -373,13 +370,14 @@ def word_code(words: Column, part: int) -> Column:
 
 
 def payload(lines: DataFrame, edits: int) -> list[Column]:
-    """What links are judged by: chars, words, most (words that may differ), parities of words and neighbours, and words as characters.
+    """What links are judged by: chars, words, most (words that may differ), parities of characters, words and neighbours, and words as characters.
 
-    A parity is a long in which each word or pair of neighbouring words flips the bit that its
-    hash names. Lines of ``MANY`` words have four more for words of four kinds.
+    A parity is a long in which each character, word or pair of neighbouring words flips the bit that its
+    code or hash names. Lines of ``MANY`` words have four more for words of four kinds.
     """
     flip = lambda total, h: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
     parity = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), flip)
+    letters = F.aggregate(F.split("line", "", -1), F.lit(0).cast("long"), lambda total, c: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(63)))))
     pairs = lambda h: F.zip_with(h, F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(1))), lambda x, y: F.xxhash64(x, y))
     kinds = lambda h: [F.when(F.size(h) >= MANY, parity(F.filter(h, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k))).otherwise(F.lit(0).cast("long")).alias(f"q{k}") for k in range(4)]
 
@@ -387,12 +385,12 @@ def payload(lines: DataFrame, edits: int) -> list[Column]:
         return F.struct(F.size(h).alias("words"), word_edits(F.size(h)).alias("most"), parity(h).alias("w0"), parity(pairs(h)).alias("w1"), *kinds(h), word_code(h, 0).alias("c0"), word_code(h, 1).alias("c1"))
 
     of = let(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)), row)
-    return [F.length("line").alias("chars"), F.inline(F.array(of))]
+    return [F.length("line").alias("chars"), letters.alias("letters"), F.inline(F.array(of))]
 
 
 #: Columns of ``payload`` that ``may_be_near`` compares, and those that ``near_lines`` needs besides.
-FILTER = ["chars", "words", "most", "w0", "w1", "q0", "q1", "q2", "q3"]
-FACTS = ["line", "chars", "words", "most", "c0", "c1"]
+FILTER = ["chars", "letters", "words", "most", "w0", "w1", "q0", "q1", "q2", "q3"]
+FACTS = ["line", "chars", "letters", "words", "most", "c0", "c1"]
 
 
 def may_be_near(x: Callable[[str], Column], y: Callable[[str], Column], edits: int) -> Column:
@@ -400,7 +398,7 @@ def may_be_near(x: Callable[[str], Column], y: Callable[[str], Column], edits: i
     gap = lambda c: F.abs(x(c) - y(c))
     flipped = lambda c: F.bit_count(x(c).bitwiseXOR(y(c)))
     most = F.least(x("most"), y("most"))
-    by_chars = (gap("chars") <= edits) & (flipped("w0") <= 4 * edits) & (flipped("w1") <= 6 * edits)
+    by_chars = (gap("chars") <= edits) & (flipped("letters") <= 2 * edits) & (flipped("w0") <= 4 * edits) & (flipped("w1") <= 6 * edits)
     kinds = (F.least(x("words"), y("words")) < MANY) | (reduce(lambda a, b: a + b, [flipped(f"q{k}") for k in range(4)]) <= 2 * most)
     return by_chars | ((gap("words") <= most) & (flipped("w0") <= 2 * most) & (flipped("w1") <= 4 * most) & kinds)
 
@@ -418,7 +416,7 @@ def near_lines(x: Callable[[str], Column], y: Callable[[str], Column], edits: in
     few = char_edits(F.least(x("chars"), y("chars")), edits)
     long = (F.least(x("chars"), y("chars")) >= VERY_LONG) & (few == edits)  # the function takes the square of the length
     by_chars = F.when(long, within_edits(x("line"), y("line"), edits)).otherwise(within("line", few))
-    return by_words | ((gap("chars") <= few) & by_chars)
+    return by_words | ((gap("chars") <= few) & (F.bit_count(x("letters").bitwiseXOR(y("letters"))) <= 2 * few) & by_chars)
 
 
 def link_counts(live: DataFrame, roots: DataFrame, edits: int) -> DataFrame:
@@ -431,7 +429,7 @@ def link_counts(live: DataFrame, roots: DataFrame, edits: int) -> DataFrame:
     many = roots.groupBy("root").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(plain("root"), "many")
     own = live.join(roots.join(many, "root").select("node", "root", "many"), F.col("id") == F.col("node"))
     whole = F.col("many") <= TOGETHER
-    of = F.struct("node", *dict.fromkeys([*FILTER, *FACTS]), F.when(~whole, F.col("keys")).alias("keys"))
+    of = F.struct("node", *dict.fromkeys([*FILTER, *FACTS]), F.when(~whole, F.col("keys")).alias("keys"), F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("split"))
     places = own.select("node", "root", whole.alias("whole"), of.alias("of"), F.explode(F.when(whole, F.array("root")).otherwise(F.col("keys"))).alias("key"), "many")
     size = places.where("not whole").groupBy("root", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(plain("root"), plain("key"), "size")
     alone = places.where("whole").withColumn("size", F.col("many"))
@@ -444,7 +442,9 @@ def link_counts(live: DataFrame, roots: DataFrame, edits: int) -> DataFrame:
         a, b = x["of"], y["of"]
         apart = (a["node"] != b["node"]) & ((F.col("low") == F.col("high")) | (x["block"] != y["block"]))
         once = F.col("whole") | (F.array_min(F.array_intersect(a["keys"], b["keys"])) == F.col("key"))
-        return apart & may_be_near(a.getField, b.getField, edits) & once & near_lines(a.getField, b.getField, edits)
+        differ = F.size(F.filter(F.zip_with(a["split"], b["split"], lambda v, w: v != w), lambda d: d))
+        replaced = (a["most"] > 0) & (a["words"] == b["words"]) & (differ <= a["most"])  # most links, at little cost
+        return apart & may_be_near(a.getField, b.getField, edits) & once & (replaced | near_lines(a.getField, b.getField, edits))
 
     counts = F.transform("g", lambda x: F.struct(x["of"]["node"].alias("node"), F.size(F.filter("g", lambda y: linked(x, y))).alias("n")))
     return met.select(F.inline(counts)).where("n > 0").groupBy("node").agg(F.sum("n").alias("n_links"))
